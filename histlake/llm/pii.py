@@ -17,7 +17,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from histlake.llm.common import table
@@ -234,22 +234,24 @@ def pseudonymised(text: str, key: bytes, make: Callable | None = None) -> tuple[
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
+SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
 
 def pseudonymise(df: DataFrame, key: bytes = DEMO_KEY, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """df with the text column pseudonymised and a column of spans in the old text. One pass, no shuffle."""
     schema = T.StructType([*(f for f in df.schema.fields if f.name != spans), T.StructField(spans, SPANS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = {k: hashlib.blake2b(k.encode(), key=key[:64]).digest()[:32] for k in KINDS}
         make = lru_cache(200_000)(lambda kind, v: MAKERS[kind](v, keys[kind]))
-        for pdf in batches:
-            done = [pseudonymised(x, key, make) if isinstance(x, str) else (None, []) for x in pdf[text]]
-            pdf = pdf.drop(columns=[spans], errors="ignore")
-            pdf[text] = [x for x, _ in done]
-            pdf[spans] = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done]
-            yield pdf[[f.name for f in schema]]
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                done = [(None, []) if x is None else pseudonymised(x, key, make) for x in part[text].to_pylist()]
+                own = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done], SPANS_ARROW)
+                cols = {n: part[n] for n in part.schema.names if n != spans} | {text: pa.array([x for x, _ in done], pa.string()), spans: own}
+                yield pa.RecordBatch.from_pydict({f.name: cols[f.name] for f in schema})
+
+    return df.mapInArrow(run, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from histlake.llm.chat import SQL as CHAT_SQL, op4_chat
 from histlake.llm.decontaminate import op5_decontamination
+from histlake.llm.ngram_join import op10_ngram_join
 from histlake.llm.pii import op8_pii
 from histlake.llm.quality_rules import op9_quality_rules
 from histlake.llm.sentencepiece_codec import op7_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat, op5_decontamination, op7_sentencepiece, op8_pii, op9_quality_rules)}
+    return {f.__name__: f for f in (op4_chat, op5_decontamination, op7_sentencepiece, op8_pii, op9_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from histlake.llm.common import table
@@ -169,25 +169,23 @@ def encode(df: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in new}]
     schema = T.StructType([*kept, *new])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         plain = not c.model.charsmap and not c.model.squeeze
         norm = c.tokenizer.normalizer.normalize_str
         back = lambda x: (x if plain else norm(x).replace(MARK, " ")[1 if c.model.dummy_prefix else 0 :]).replace(MARK, " ")
-        for pdf in batches:
-            at = [i for i, x in enumerate(pdf[text]) if isinstance(x, str)]
-            texts = list(pdf[text].iloc[at])
-            ids: list = [None] * len(pdf)
-            same: list = [None] * len(pdf)
-            for i, x, e in zip(at, texts, c.encode(texts), strict=True):
-                ids[i], same[i] = e, c.decode(e) == back(x)
-            pdf = pdf[[f.name for f in kept]].copy()
-            pdf["token_ids"] = pd.Series(ids, index=pdf.index, dtype=object)
-            pdf["n_tokens"] = pd.Series([None if e is None else len(e) for e in ids], index=pdf.index, dtype="Int64")
-            pdf["round_trip"] = pd.Series(same, index=pdf.index, dtype=object)
-            yield pdf
-
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                texts = part[text].to_pylist()
+                done = iter(c.encode([x for x in texts if x is not None]))
+                ids = [None if x is None else next(done) for x in texts]
+                cols = {f.name: part[f.name] for f in kept}
+                cols["token_ids"] = pa.array(ids, pa.list_(pa.int32()))
+                cols["n_tokens"] = pa.array([None if e is None else len(e) for e in ids], pa.int64())
+                cols["round_trip"] = pa.array([None if e is None else c.decode(e) == back(x) for x, e in zip(texts, ids, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_pydict(cols)
+
+    return df.mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
