@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from histlake.llm.chat import SQL as CHAT_SQL, op4_chat
 from histlake.llm.decontaminate import op5_decontamination
+from histlake.llm.html_extract import op3_html_extraction
 from histlake.llm.ngram_join import op10_ngram_join
 from histlake.llm.pii import op8_pii
 from histlake.llm.quality_classifier import op6_quality_classifier
@@ -17,7 +18,7 @@ from histlake.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_chat, op5_decontamination, op6_quality_classifier, op7_sentencepiece, op8_pii, op9_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op3_html_extraction, op4_chat, op5_decontamination, op6_quality_classifier, op7_sentencepiece, op8_pii, op9_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
