@@ -69,7 +69,7 @@ class Page:
         self.tokens: list[tuple[str, str, int]] = []
         self.block, self.open = 0, Counter()
         stack: list[tuple[str, str]] = []  # (tag, kind as it holds inside)
-        at, raw, endless = 0, "", set()
+        at, raw = 0, ""
         for m in TOKEN.finditer(source):
             tag = (m["tag"] or "").lower()
             if raw and not (m["close"] and tag == raw):
@@ -90,12 +90,8 @@ class Page:
                 if self.open[tag]:
                     while self.pop(stack) != tag:
                         pass
-            elif tag in RAW and tag not in endless and not m["attrs"].endswith("/"):
-                # Without its end the rest of the page belongs to it; then only its tag is skipped.
-                if re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at):
-                    raw = tag
-                else:
-                    endless.add(tag)
+            elif tag in RAW and not m["attrs"].endswith("/"):
+                raw = tag  # without its end, the rest of the page is its
                 continue
             elif tag not in VOID:
                 # An open paragraph ends here, and with it what it left open.
