@@ -15,11 +15,12 @@ from histlake.llm.quality_classifier import op6_quality_classifier
 from histlake.llm.quality_rules import op9_quality_rules
 from histlake.llm.sentencepiece_codec import op7_sentencepiece
 from histlake.llm.toxicity import op1_toxicity
+from histlake.llm.warc import SQL as WARC_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_html_extraction, op4_chat, op5_decontamination, op6_quality_classifier, op7_sentencepiece, op8_pii, op9_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_html_extraction, op4_chat, op5_decontamination, op6_quality_classifier, op7_sentencepiece, op8_pii, op9_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": CHAT_SQL}
+    return {"op2_warc": WARC_SQL, "op4_chat": CHAT_SQL}
