@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from histlake.shipping import ship
+
 #: The characters between words: space and \x09 to \x0D.
 GAP = "[\\x20\\x09-\\x0D]+"
 #: Most rows of a few numbers each that a side may have and still be broadcast (about 16 MB).
@@ -14,6 +16,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
