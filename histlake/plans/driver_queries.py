@@ -1,0 +1,397 @@
+"""Queries over the driver's tables, each with its SQL for a reference engine.
+
+History rows come from `events` by one expression that both engines evaluate.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from histlake.functions.hashing import hash_prefix, salted_hash, salted_sha256
+from histlake.functions.redact import entropy_column, redact, redact_fixed
+from histlake.functions.texts import ascii_tokens, tokens, under_path
+from histlake.functions.vectors import distance_score, dot
+from histlake.operators import evaluation, history, ingest, nearest, ranking
+from histlake.shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: The history view, in the SQL that both engines share; {epoch} is the time in whole seconds.
+HISTORY = """
+SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'zsh' WHEN 1 THEN 'bash' ELSE 'atuin' END AS source,
+  concat(event_type, ' --user ', CAST(user_id AS VARCHAR(20)), CASE WHEN event_id % 7 = 0 THEN concat(' --password=', md5(CAST(event_id AS VARCHAR(20)))) ELSE '' END,
+    CASE WHEN event_id % 11 = 0 THEN ' 100%_DONE' ELSE '' END) AS text_scrubbed,
+  concat('/home/u', CAST(user_id % 5 AS VARCHAR(20)), CASE WHEN event_id % 4 = 0 THEN '/Sub' WHEN event_id % 4 = 1 THEN 'or' ELSE '' END) AS cwd,
+  CASE WHEN event_id % 13 <> 0 THEN concat('host', CAST(user_id % 4 AS VARCHAR(20))) END AS hostname,
+  CASE WHEN event_id % 3 = 2 THEN CASE WHEN event_type = 'error' THEN 1 ELSE 0 END END AS exit_code,
+  CASE WHEN event_id % 17 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS duration_ms,
+  CASE WHEN event_id % 3 = 2 THEN CAST(user_id AS VARCHAR(20)) END AS session_id,
+  CASE WHEN event_id % 10 = 0 THEN CAST(0 AS BIGINT) ELSE {epoch} END AS ts
+FROM events
+"""
+DUCK = HISTORY.format(epoch="CAST(epoch(date_trunc('second', ts)) AS BIGINT)")
+COLUMNS = "id, text_scrubbed AS text, source, ts, cwd, hostname, exit_code, duration_ms, session_id"
+SALT = b"driver salt"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return events.selectExpr(*parts())
+
+
+def parts() -> list[str]:
+    """The view's columns, one by one."""
+    body = HISTORY.format(epoch="ts").split("FROM events")[0].strip().removeprefix("SELECT")
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(body[at:i])
+            at = i + 1
+    return [x.strip() for x in [*out, body[at:]]]
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("text_scrubbed").alias("text"), "source", "ts", "cwd", "hostname", "exit_code", "duration_ms", "session_id")
+
+
+def latest(df: DataFrame) -> int:
+    """The latest time of all, for windows that have rows at any scale."""
+    return df.agg(F.max("ts")).first()[0] or 0
+
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql if sql.startswith("WITH") or " h" not in sql else f"WITH h AS ({DUCK}) {sql}"
+        return f
+
+    return add
+
+
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RECENT = "ORDER BY CASE WHEN ts > 0 THEN 0 ELSE 1 END, ts DESC, id DESC LIMIT 20"
+UNDER = f"(cwd = '/home/u1' OR starts_with({FOLD.format('cwd')}, '/home/u1/'))"
+
+
+@query(f"SELECT {COLUMNS} FROM h {RECENT}")
+def recent(spark, sf_dir):
+    return shown(history.recent(commands(spark, sf_dir), 20))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE {UNDER} {RECENT}")
+def recent_in_prefix(spark, sf_dir):
+    return shown(history.recent(commands(spark, sf_dir), 20, cwd_prefix="/home/u1/"))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE hostname = 'host2' {RECENT}")
+def recent_on_host(spark, sf_dir):
+    return shown(history.recent(commands(spark, sf_dir), 20, host="host2"))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE {UNDER}")
+def path_prefix(spark, sf_dir):
+    return shown(history.scoped(commands(spark, sf_dir), cwd_prefix="/home/u1"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url = 'https://therin.example.net/en' OR starts_with(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'https://therin.example.net/en/')")
+def url_prefix_boundary(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(under_path(F.col("url"), "https://therin.example.net/en")).select("page_id", "url")
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE contains({FOLD.format('text_scrubbed')}, 'click --user 1')")
+def substring_match(spark, sf_dir):
+    return shown(history.matching(commands(spark, sf_dir), "CLICK --User 1"))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE contains({FOLD.format('text_scrubbed')}, '100%_done')")
+def substring_metachar(spark, sf_dir):
+    return shown(history.matching(commands(spark, sf_dir), "100%_done"))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE ts >= 1704499200")
+def since_filter(spark, sf_dir):
+    return shown(history.scoped(commands(spark, sf_dir), since=1704499200))
+
+
+ERROR = "contains(text_scrubbed, 'error')"
+
+
+@query(f"SELECT count(*) AS total, round(avg(duration_ms), 6) AS mean_duration_ms, round(count(CASE WHEN exit_code = 0 THEN 1 END) * 1.0 / nullif(count(exit_code), 0), 6) AS success_rate FROM h WHERE contains(text_scrubbed, '--user 1')")
+def stats_totals(spark, sf_dir):
+    out = history.totals(history.matching(commands(spark, sf_dir), "--user 1"))
+    return out.select("total", F.round("mean_duration_ms", 6).alias("mean_duration_ms"), F.round("success_rate", 6).alias("success_rate"))
+
+
+@query(f"SELECT cwd, count(*) AS n FROM h WHERE {ERROR} AND cwd IS NOT NULL GROUP BY cwd ORDER BY n DESC, cwd LIMIT 5")
+def stats_top_cwds(spark, sf_dir):
+    return history.top_paths(history.matching(commands(spark, sf_dir), "error"))
+
+
+@query(f"SELECT source, count(*) AS n FROM h WHERE {ERROR} GROUP BY source")
+def stats_by_source(spark, sf_dir):
+    return history.by_source(history.matching(commands(spark, sf_dir), "error"))
+
+
+@query(f"SELECT (SELECT count(*) FROM h WHERE {ERROR}) AS total, cwd AS cwd, n, rank FROM (SELECT cwd, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cwd) AS rank FROM h WHERE {ERROR} GROUP BY cwd) WHERE rank <= 5")
+def command_stats(spark, sf_dir):
+    one = history.stats(history.matching(commands(spark, sf_dir), "error"))
+    return one.select("total", F.posexplode("top_cwds").alias("i", "x")).select("total", "x.cwd", "x.n", (F.col("i") + 1).cast("long").alias("rank"))
+
+
+FAILED = "source = 'atuin' AND exit_code IS NOT NULL AND exit_code <> 0 AND ts >= (SELECT max(ts) FROM h) - 604800"
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE {FAILED} ORDER BY ts DESC, id LIMIT 20")
+def failed_recently(spark, sf_dir):
+    h = commands(spark, sf_dir)
+    return shown(history.failed_recently(h, latest(h) - 604800, 20))
+
+
+@query(f"SELECT {COLUMNS} FROM h WHERE {FAILED} AND contains({FOLD.format('text_scrubbed')}, '--user 1') ORDER BY ts DESC, id LIMIT 20")
+def failed_recently_pattern(spark, sf_dir):
+    h = commands(spark, sf_dir)
+    return shown(history.failed_recently(h, latest(h) - 604800, 20, "--user 1"))
+
+
+AFTER = "SELECT m.id AS match_id, c.id, c.ts, row_number() OVER (PARTITION BY m.id ORDER BY c.ts, c.id) AS pos FROM m JOIN {c} c ON c.session_id = m.session_id AND (c.ts > m.ts OR (c.ts = m.ts AND c.id > m.id))"
+
+
+@query(f", m AS (SELECT * FROM h WHERE contains({FOLD.format('text_scrubbed')}, 'purchase') AND ts < 1706000000 ORDER BY ts DESC, id LIMIT 200) SELECT match_id, CAST(pos AS INTEGER) AS pos, id AS follow_id, ts AS follow_ts FROM ({AFTER.format(c='h')}) WHERE pos <= 3")
+def commands_after(spark, sf_dir):
+    h = commands(spark, sf_dir)
+    matches = history.matching(h, "Purchase").filter("ts < 1706000000").orderBy(F.desc("ts"), "id").limit(200)
+    return history.following(matches, h).select("match_id", "pos", F.col("id").alias("follow_id"), F.col("ts").alias("follow_ts"))
+
+
+@query("SELECT conv_id, turn, CAST(p AS INTEGER) AS pos, next_turn FROM (SELECT conv_id, turn, unnest([1, 2, 3]) AS p, unnest([lead(turn, 1) OVER w, lead(turn, 2) OVER w, lead(turn, 3) OVER w]) AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE next_turn IS NOT NULL")
+def next_turns(spark, sf_dir):
+    out = history.following_all(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", ("turn",))
+    return out.select("conv_id", "turn", F.explode("nexts").alias("x")).select("conv_id", "turn", "x.pos", F.col("x.next.turn").alias("next_turn"))
+
+
+def repeated(spark, sf_dir) -> DataFrame:
+    """Entries that come twice, and ones that share a text and an unknown time."""
+    h = commands(spark, sf_dir).withColumnRenamed("text_scrubbed", "text").withColumnRenamed("id", "ordinal")
+    return ingest.concatenated([h, h.filter("ordinal % 5 = 0").withColumn("ordinal", F.col("ordinal") + 100_000_000)])
+
+
+SHA = "sha256(concat('driver salt', text_scrubbed))"
+
+
+@query(f"SELECT source, lower({SHA}) AS text_hash, ts, min(id) AS ordinal FROM h GROUP BY source, {SHA}, ts")
+def dedup_ingest(spark, sf_dir):
+    rows = ingest.hashed(repeated(spark, sf_dir), lambda c: c, lambda c: salted_sha256(c, SALT))
+    return ingest.first_of_each(rows).select("source", F.lower(F.hex("text_hash")).alias("text_hash"), "ts", "ordinal")
+
+
+OLD = "SELECT DISTINCT source, text_scrubbed, ts FROM h WHERE id % 2 = 0"
+
+
+@query(f", s AS ({OLD}), n AS (SELECT source, text_scrubbed, ts, min(id) AS ordinal FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source = h.source AND s.text_scrubbed = h.text_scrubbed AND s.ts = h.ts) GROUP BY ALL) SELECT row_number() OVER (ORDER BY CASE source WHEN 'zsh' THEN 0 WHEN 'bash' THEN 1 ELSE 2 END, ordinal) + 1000 AS id, source, ordinal, ts FROM n")
+def incremental_ingest(spark, sf_dir):
+    rows = ingest.hashed(repeated(spark, sf_dir), lambda c: c, lambda c: salted_sha256(c, SALT))
+    store = rows.filter("ordinal % 2 = 0 and ordinal < 100000000")
+    new = ingest.unknown(ingest.first_of_each(rows), store)
+    return ingest.numbered_after(new, 1000).select("id", "source", "ordinal", "ts")
+
+
+@query("SELECT source, max(ts) AS cursor FROM h GROUP BY source HAVING max(ts) > 0")
+def source_cursors(spark, sf_dir):
+    return ingest.cursors(commands(spark, sf_dir))
+
+
+@query()
+def text_hash_prefix(spark, sf_dir):
+    h = commands(spark, sf_dir)
+    return h.select("id", hash_prefix(salted_hash(SALT)(redact(F.col("text_scrubbed")))).alias("text_hash"))
+
+
+@query("SELECT id, regexp_replace(text_scrubbed, '--password=[0-9a-f]{32}', '--password=<REDACTED:PASSWORD>') AS text FROM h")
+def scrub_password(spark, sf_dir):
+    return commands(spark, sf_dir).select("id", redact(F.col("text_scrubbed")).alias("text"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\bAKIA[0-9A-Z]{16}\\b', '<REDACTED:AWS_ACCESS_KEY>', 'g') AS text FROM documents")
+def scrub_fixed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", redact_fixed(F.col("text")).alias("text"))
+
+
+@query("SELECT id, '--token ' || CASE WHEN id % 2 = 0 THEN 'aaaaaaaaaaaa' ELSE '<REDACTED:CREDENTIAL>' END AS text FROM h")
+def scrub_credential(spark, sf_dir):
+    value = F.when(F.col("id") % 2 == 0, "aaaaaaaaaaaa").otherwise("Q7x!mP2k#Lz9vR4t")
+    return commands(spark, sf_dir).select("id", redact(F.concat(F.lit("--token "), value)).alias("text"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark), c AS (SELECT word, unnest(string_split(word, '')) AS ch FROM w WHERE word <> ''),
+n AS (SELECT word, ch, count(*) * 1.0 / length(word) AS p FROM c WHERE ch <> '' GROUP BY word, ch) SELECT word, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM n GROUP BY word""")
+def entropy(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").distinct()
+    return words.select("word", (F.round(entropy_column(F.col("word")), 6) + 0.0).alias("entropy"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(lower(url), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(url), '[a-z0-9]+'), 1) - 1 AS pos FROM pages")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(tokens(F.col("url"))).alias("pos", "term")).select("page_id", "term", F.col("pos").cast("long"))
+
+
+QV = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+DIST = f"sqrt(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST({QV} AS DOUBLE[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+V = f"v AS (SELECT vec_id AS id, {DIST} AS distance FROM embeddings)"
+SCORE = "round(greatest(-1.0, least(1.0, 1 - distance * distance / 2)), 6) AS score"
+
+
+def vectors(spark, sf_dir) -> tuple[DataFrame, list[float]]:
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "command_id")
+    return v, v.filter("command_id = 0").first()["embedding"]
+
+
+@query(f"WITH {V} SELECT id, {SCORE} FROM v ORDER BY distance, id LIMIT 25")
+def knn(spark, sf_dir):
+    v, q = vectors(spark, sf_dir)
+    near = nearest.nearest(v.select("command_id", "embedding"), q, 25)
+    return near.select(F.col("command_id").alias("id"), F.round(distance_score(F.col("distance")), 6).alias("score"))
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return df.select("id", "cwd", "ts", F.round("score", 6).alias("score"))
+
+
+@query(f", {V}, c AS (SELECT * FROM v ORDER BY distance, id LIMIT 125) SELECT h.id, cwd, ts, {SCORE} FROM c JOIN h ON h.id = c.id WHERE hostname = 'host1' AND ts >= 1704499200 ORDER BY distance, h.id LIMIT 25")
+def knn_filtered_overfetch(spark, sf_dir):
+    v, q = vectors(spark, sf_dir)
+    return scored(nearest.search(v.select("command_id", "embedding"), commands(spark, sf_dir), q, 25, host="host1", since=1704499200))
+
+
+@query(f", {V} SELECT h.id, cwd, ts, {SCORE} FROM v JOIN h ON h.id = v.id WHERE {UNDER} AND hostname = 'host1' ORDER BY distance, h.id LIMIT 25")
+def knn_exact_filtered(spark, sf_dir):
+    v, q = vectors(spark, sf_dir)
+    return scored(nearest.search(v.select("command_id", "embedding"), commands(spark, sf_dir), q, 25, cwd_prefix="/home/u1", host="host1", exact=True))
+
+
+@query(f", {V}, c AS (SELECT * FROM v ORDER BY distance, id LIMIT 50) SELECT h.id, cwd, ts, {SCORE} FROM c JOIN h ON h.id = c.id WHERE {UNDER} ORDER BY distance, h.id LIMIT 10")
+def find_in_project(spark, sf_dir):
+    v, q = vectors(spark, sf_dir)
+    return scored(nearest.search(v.select("command_id", "embedding"), commands(spark, sf_dir), q, 10, cwd_prefix="/home/u1"))
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def knn_batch(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest.nearest_each(v, asked, 5, 5).select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST({QV} AS DOUBLE[])), 6) + 0.0 AS score FROM embeddings")
+def cosine(spark, sf_dir):
+    v, q = vectors(spark, sf_dir)
+    return v.select(F.col("command_id").alias("vec_id"), (F.round(dot(F.col("embedding"), F.lit(list(map(float, q)))), 6) + 0.0).alias("score"))
+
+
+#: The evaluation set of the driver's tables: documents are the corpus, benchmark items the requests.
+CORPUS = "d AS (SELECT doc_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS nl FROM benchmark)"
+TOKENS = "regexp_extract_all(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+')"
+
+
+def corpus_and_queries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("nl"))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+TOP = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5"
+TERMS = f"{CORPUS}, dt AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM d), qt AS (SELECT query_id, unnest({TOKENS.format('nl')}) AS term FROM q)"
+OVERLAP = f"WITH {TERMS}, s AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT * FROM dt) JOIN (SELECT DISTINCT * FROM qt) USING (term) GROUP BY query_id, doc_id)"
+
+
+@query(f"{OVERLAP} {TOP}")
+def rank_token_overlap(spark, sf_dir):
+    return rounded(ranking.token_overlap(*corpus_and_queries(spark, sf_dir), 5, tokenize=ascii_tokens))
+
+
+BM25 = f"""WITH {TERMS}, l AS (SELECT doc_id, len({TOKENS.format('text')}) AS len FROM d), a AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qf AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY query_id, term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, a),
+s AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM tf JOIN qf USING (term) JOIN i USING (term) JOIN l USING (doc_id), a GROUP BY query_id, doc_id)"""
+
+
+@query(f"{BM25} {TOP}")
+def rank_bm25(spark, sf_dir):
+    return rounded(ranking.bm25(*corpus_and_queries(spark, sf_dir), 5, tokenize=ascii_tokens))
+
+
+NAIVE = f"WITH {CORPUS}, w AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(nl), '\\s+'), lambda x: x <> '')) AS w FROM q), s AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM d JOIN w ON contains(lower(d.text), w.w) GROUP BY query_id, doc_id)"
+
+
+@query(f"{NAIVE} {TOP}")
+def rank_naive(spark, sf_dir):
+    return rounded(ranking.naive(*corpus_and_queries(spark, sf_dir), 5))
+
+
+@query()
+def rank_fuzzy(spark, sf_dir):
+    """Benchmark items against page URLs: whole-string comparison is meant for command-sized texts."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return rounded(ranking.fuzzy(pages, corpus_and_queries(spark, sf_dir)[1], 5))
+
+
+@query()
+def rank_semantic(spark, sf_dir):
+    return rounded(ranking.semantic(*corpus_and_queries(spark, sf_dir), 5))
+
+
+def judged(spark, sf_dir, ranker) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """corpus, queries, gold and ranks. A request's golds are the documents that hold it."""
+    corpus, queries = corpus_and_queries(spark, sf_dir)
+    gold = corpus.join(F.broadcast(queries), F.contains("text", "nl")).select("query_id", "text")
+    return corpus, queries, gold, evaluation.gold_ranks(ranker(corpus, queries, 5, tokenize=ascii_tokens), corpus, queries, gold)
+
+
+GT = "gt AS (SELECT DISTINCT query_id, text FROM d JOIN q ON contains(d.text, q.nl))"
+RANKS = ", k AS (SELECT query_id, min(rank) AS rank FROM t JOIN d USING (doc_id) JOIN gt USING (query_id, text) GROUP BY query_id), e AS (SELECT q.query_id, rank FROM q LEFT JOIN k USING (query_id))"
+
+
+@query(f"{BM25}, t AS ({TOP}), {GT} {RANKS} SELECT query_id, CAST(rank AS BIGINT) AS rank FROM e")
+def eval_per_query_ranks(spark, sf_dir):
+    return judged(spark, sf_dir, ranking.bm25)[3].select("query_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{BM25}, t AS ({TOP}), {GT} {RANKS} SELECT count(*) AS n_queries, (SELECT count(*) FROM d) AS n_corpus, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1,
+round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, round(least(1.0, (SELECT count(*) FROM gt) * 5.0 / count(*) / (SELECT count(*) FROM d)), 6) AS random_baseline_recall_at_5 FROM e""")
+def eval_metrics(spark, sf_dir):
+    corpus, _, gold, ranks = judged(spark, sf_dir, ranking.bm25)
+    out = evaluation.metrics(ranks, corpus, gold)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+VERDICT = f"""{BM25}, t AS ({TOP}), {GT} {RANKS}, s2 AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT * FROM dt) JOIN (SELECT DISTINCT * FROM qt) USING (term) GROUP BY query_id, doc_id),
+t2 AS ({TOP.replace("FROM s)", "FROM s2)")}), k2 AS (SELECT query_id, min(rank) AS rank FROM t2 JOIN d USING (doc_id) JOIN gt USING (query_id, text) GROUP BY query_id), f AS (SELECT e.query_id, k2.rank AS a, e.rank AS b FROM e LEFT JOIN k2 USING (query_id))
+SELECT query_id, CAST(a AS BIGINT) AS overlap_rank, CAST(b AS BIGINT) AS bm25_rank, CASE WHEN a IS NULL AND b IS NULL THEN 'both-fail' WHEN a IS NULL THEN 'bm25-only' WHEN b IS NULL THEN 'overlap-only' WHEN a = b THEN 'tie' WHEN a < b THEN 'overlap-wins' ELSE 'bm25-wins' END AS verdict FROM f"""
+
+
+@query(VERDICT)
+def ranker_verdict(spark, sf_dir):
+    first, second = (judged(spark, sf_dir, r)[3] for r in (ranking.token_overlap, ranking.bm25))
+    out = evaluation.verdicts(first, second, ("overlap", "bm25"))
+    return out.select("query_id", F.col("overlap_rank").cast("long").alias("overlap_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), "verdict")
+
+
+@query()
+def rank_fusion(spark, sf_dir):
+    corpus, queries = corpus_and_queries(spark, sf_dir)
+    return rounded(ranking.fused([r(corpus, queries, 20, tokenize=ascii_tokens) for r in (ranking.bm25, ranking.token_overlap)], 5))
