@@ -104,5 +104,5 @@ def redact_fixed(text: Column) -> Column:
 def entropy_column(text: Column) -> Column:
     """Shannon entropy, natively; 0 for an empty text."""
     n = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.try_divide(n - F.length(F.replace(text, c, F.lit(""))), n))
     return F.coalesce(-F.aggregate(F.filter(counts, lambda p: p > 0), F.lit(0.0), lambda s, p: s + p * F.log2(p)), F.lit(0.0))
