@@ -12,10 +12,13 @@ tables need no rule. encode() adds its columns after those of the input, in plac
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -25,8 +28,10 @@ MODEL = os.environ.get("HISTLAKE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Texts of so many characters together are given to the library at once.
-BATCH_CHARS = 4_000_000
+#: Characters of texts that are cut together, and words whose ids a worker remembers.
+BATCH_CHARS = 1_000_000
+MOST_WORDS = 400_000
+CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -90,7 +95,7 @@ def build(model: Model):
 
     if model.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=100_000)
+        core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk, byte_fallback=model.byte_fallback)
     t = Tokenizer(core)
@@ -112,25 +117,82 @@ def build(model: Model):
 
 class Codec:
     def __init__(self, path: str):
+        from tokenizers import normalizers
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         with open(path, "rb") as f:
             self.model = Model(f.read())
-        self.tokenizer = build(self.model)
+        self.tokenizer, self.words = build(self.model), None
+        if self.model.splittable() and not any(kind == USER for _, _, kind in self.model.pieces):
+            self.plain = build(self.model)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.forget()
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.texts = ["" if kind in (CONTROL, UNUSED) else " ⁇ " if kind == UNKNOWN else p for p, _, kind in self.model.pieces]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Texts together up to BATCH_CHARS; the library deals a batch to its threads."""
-        out, batch, chars = [], [], 0
-        for x in texts:
-            batch.append(x)
-            chars += len(x)
+    def normalised(self, text: str) -> str:
+        if self.model.charsmap or self.model.squeeze:
+            return self.tokenizer.normalizer.normalize_str(text)
+        text = " " + text if self.model.dummy_prefix and text else text
+        return text.replace(" ", MARK) if self.model.escape else text
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, how many each text has, and whether they decode to its normalised form. Where no piece
+        goes past a marker, texts are cut there, and only words not met before go to the library, in batches that it
+        deals to its threads."""
+        if self.words is None:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [self.raw(i) == self.normalised(x) for i, x in zip(ids, texts, strict=True)]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(i) for i in ids], np.int64), np.array(same, bool)
+        flat, sizes, same = [], [], []
+        for held in self.cut(texts):
+            at = self.learn(list(chain.from_iterable(held)))
+            n = self.length[at]
+            # Ids of word after word: each place is its word's first, plus its distance from there.
+            ends = np.cumsum(n)
+            flat.append(self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            edges = np.cumsum([0, *map(len, held)])
+            sizes.append(np.diff(np.r_[0, ends][edges]))
+            same.append(np.diff(np.r_[0, np.cumsum(~self.good[at])][edges]) == 0)
+        return (np.concatenate([np.empty(0, t), *x]) for x, t in ((flat, np.int32), (sizes, np.int64), (same, bool)))
+
+    def cut(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """Words of each text, of BATCH_CHARS at a time."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(CUTS.findall(self.normalised(text)))
+            chars += len(text)
             if chars >= BATCH_CHARS:
-                out += [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-                batch, chars = [], 0
-        return out + [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)] if batch else out
+                yield held
+                held, chars = [], 0
+        if held:
+            yield held
+
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Places of parts among the words remembered, of which there are MOST_WORDS and a batch's own at most."""
+        new = [p for p in set(parts) if p not in self.words]
+        if len(self.words) + len(new) > MOST_WORDS:
+            self.forget()
+            new = list(set(parts))
+        ids = [e.ids for e in self.plain.encode_batch_fast(new, add_special_tokens=False)]
+        n = np.array([len(i) for i in ids], np.int64)
+        self.start = np.r_[self.start, len(self.pool) + np.cumsum(n) - n]
+        self.length = np.r_[self.length, n]
+        self.good = np.r_[self.good, np.array([self.raw(i) == p for p, i in zip(new, ids, strict=True)], bool)]
+        self.pool = np.r_[self.pool, np.fromiter(chain.from_iterable(ids), np.int32)]
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        return np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+
+    def forget(self) -> None:
+        self.words, self.pool = {}, np.empty(0, np.int32)
+        self.start, self.length, self.good = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        flat, sizes, _ = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+    def raw(self, ids: list[int]) -> str:
+        """The normalised text of ids."""
         if not self.bytes or self.bytes.keys().isdisjoint(ids):
             text = "".join([self.texts[i] for i in ids])
         else:
@@ -144,6 +206,10 @@ class Codec:
                     run = bytearray()
                 out.append(self.texts[i])
             text = "".join([*out, run.decode(errors="replace")])
+        return text
+
+    def decode(self, ids: list[int]) -> str:
+        text = self.raw(ids)
         text = text.replace(MARK, " ") if self.model.escape else text
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
@@ -163,26 +229,28 @@ def parity(path: str, texts: list[str]) -> list[int]:
 
 
 def encode(df: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
-    """df with token_ids, n_tokens, and round_trip: whether the ids decode to the text as the model normalises it
-    (its marker and its own normaliser apart, to the very text). One pass, no shuffle."""
+    """df with token_ids, n_tokens, and round_trip: whether the ids decode to the text as the model normalises
+    it. One pass, no shuffle."""
     new = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in new}]
     schema = T.StructType([*kept, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        plain = not c.model.charsmap and not c.model.squeeze
-        norm = c.tokenizer.normalizer.normalize_str
-        back = lambda x: (x if plain else norm(x).replace(MARK, " ")[1 if c.model.dummy_prefix else 0 :]).replace(MARK, " ")
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 texts = part[text].to_pylist()
-                done = iter(c.encode([x for x in texts if x is not None]))
-                ids = [None if x is None else next(done) for x in texts]
+                there = np.array([x is not None for x in texts], bool)
+                flat, sizes, same = c.encode_flat([x for x in texts if x is not None])
+                n = np.zeros(len(texts), np.int64)
+                n[there] = sizes
+                good = np.zeros(len(texts), bool)
+                good[there] = same
+                offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32), mask=np.r_[~there, False])
                 cols = {f.name: part[f.name] for f in kept}
-                cols["token_ids"] = pa.array(ids, pa.list_(pa.int32()))
-                cols["n_tokens"] = pa.array([None if e is None else len(e) for e in ids], pa.int64())
-                cols["round_trip"] = pa.array([None if e is None else c.decode(e) == back(x) for x, e in zip(texts, ids, strict=True)], pa.bool_())
+                cols["token_ids"] = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+                cols["n_tokens"] = pa.array(n, mask=~there)
+                cols["round_trip"] = pa.array(good, mask=~there)
                 yield pa.RecordBatch.from_pydict(cols)
 
     return df.mapInArrow(run, schema)
