@@ -36,6 +36,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Captures in a block, at least; and blocks in the directory, at most.
 BLOCK_ROWS, MOST_BLOCKS = 3000, 100_000
 LEVEL = 1
+#: Records that are in memory together when archives are read.
+READ_ROWS = 200
 CRLF = b"\r\n"
 PAGES = "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long"
 MANIFEST = "url_key string, page_id long, archive string, start long, size long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -245,7 +247,7 @@ def read_records(places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, f = None, None
-        for pdf in batches:
+        for pdf in (x.iloc[i : i + READ_ROWS] for x in batches for i in range(0, len(x), READ_ROWS)):
             rows = []
             for archive, start, size in zip(pdf["archive"], pdf["start"], pdf["size"], strict=True):
                 if archive != name:
