@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date", "secret")
 HINT, REACH = re.compile(r"[0-9@]"), 160
 PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)
-    |(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?i:password|passwd|token|secret|api_key|apikey)\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{6,128})
+    |(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?i:password|passwd|token|secret|api_key|apikey)\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{5,127}[A-Za-z0-9_+/-])
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w-]|[./][0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
