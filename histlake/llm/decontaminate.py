@@ -8,7 +8,7 @@ shingles themselves.
 
 Words are runs of letters and digits, lower-cased, so that punctuation and case do not hide an item. A text of fewer
 than five words is one shingle, its whole sequence. Null or empty items and documents have no shingles and match
-nothing. Equal items of several ids, repeated documents and ties all give a row for each pair of rows' ids; rows with
+nothing. A document without an id can't be named and has no rows. Equal items of several ids, repeated documents and ties all give a row for each pair of rows' ids; rows with
 one id are taken together. Other columns are ignored.
 """
 
@@ -34,8 +34,8 @@ def shingles(text: Column) -> Column:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, item (its shingles), n, and the sketch of its size partition."""
-    sized = items.select("item_id", shingles(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter("n > 0")
+    """key (the id in a struct, so that null is one too), item (its shingles), n, and the sketch of its size partition."""
+    sized = items.select(F.struct("item_id").alias("key"), shingles(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter("n > 0")
     upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")
     keep = F.floor((1 - threshold) * upper + 1e-9).cast("int") + 1
     hashes = F.array_sort(F.array_distinct(F.transform("item", lambda s: F.xxhash64(s))))
@@ -43,10 +43,10 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id) with a hash of the item's sketch in the document."""
+    """Distinct (doc_id, key) with a hash of the item's sketch in the document."""
     probes = docs.select("doc_id", F.explode(F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("h"))
-    keys = written(items.select("item_id", F.explode("sketch").alias("h")), "item-sketches")
-    return probes.join(small(keys), "h").select("doc_id", "item_id").distinct()
+    keys = written(items.select("key", F.explode("sketch").alias("h")), "item-sketches")
+    return probes.join(small(keys), "h").select("doc_id", "key").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -55,9 +55,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     items = written(sketches(benchmark, threshold), "items")
     found = written(candidates(docs, items), "leak-candidates")
-    named = items.select("item_id", "item", "n")
-    held = docs.join(small(found), "doc_id").withColumn("has", shingles(F.col("text"))).drop("text").join(small(named, 100_000), "item_id")
-    out = held.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("item", "has")).cast("long").alias("n_shared"))
+    named = items.select("key", "item", "n")
+    held = docs.join(small(found), "doc_id").withColumn("has", shingles(F.col("text"))).drop("text").join(small(named, 100_000), "key")
+    out = held.select("doc_id", "key.item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("item", "has")).cast("long").alias("n_shared"))
     out = out.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
     return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)).filter(F.col("n_shared") >= threshold * F.col("n_shingles"))
 

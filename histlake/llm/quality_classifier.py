@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(picked), "doc_id")
     got = rows.mapInPandas(measure, "text array<double>, meta array<double>, y int").toPandas()
     y = got["y"].to_numpy().astype(float)
-    text, meta = (np.array(got[c].tolist()).reshape(len(got), -1) for c in ("text", "meta"))
+    text, meta = (np.array(got[c].tolist()).reshape(len(got), -1 if len(got) else 1) for c in ("text", "meta"))
     if len(got):  # the fit doesn't depend on the order of rows
         order = np.lexsort((*meta.T, *text.T, y))
         y, text, meta = y[order], text[order], meta[order]
