@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from histlake.llm.common import scratch, table, written
+from histlake.llm.common import scratch, small, table, written
 
 LEAST_REVISIT = 100
 #: Compressed bytes after which a task begins another archive.
@@ -98,6 +98,8 @@ def with_types(pages: DataFrame) -> DataFrame:
     own = F.length(F.coalesce("html", F.lit("")).cast("binary"))
     long = pages.select("page_id", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("payload_digest"), own.alias("n")).filter(F.col("n") >= LEAST_REVISIT)
     first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies")
+    # Digests that come twice are few, so payloads mostly stay where they are.
+    first = small(written(first, "warc-copies"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return df.join(first, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest",
@@ -223,7 +225,7 @@ def resolve(requests: DataFrame, blocks: DataFrame) -> DataFrame:
             pdf["block"] = [names[max(0, i)] if names else None for i in at]
             yield pdf
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = pdf["data"].dropna()
         if not len(data):
             return pd.DataFrame({"url_key": [], "page": [], "archive": [], "start": [], "size": []})
