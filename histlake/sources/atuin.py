@@ -39,15 +39,17 @@ class AtuinReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         if not Path(self.path).exists():
-            return []
+            return [Slice(0, -1)]
         with connect(self.path) as db:
             found = {r[1] for r in db.execute("PRAGMA table_info(history)")}
             if missing := REQUIRED - found:
                 raise AtuinSchemaError(f"history table is missing required columns: {sorted(missing)}; found: {sorted(found)}")
             low, high = db.execute("SELECT min(rowid), max(rowid) FROM history").fetchone()
-        return [] if low is None else [Slice(i, i + ROWS - 1) for i in range(low, high + 1, ROWS)]
+        return [Slice(0, -1)] if low is None else [Slice(i, i + ROWS - 1) for i in range(low, high + 1, ROWS)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
+        if partition.last < partition.first:
+            return
         with connect(self.path) as db:
             found = {r[1] for r in db.execute("PRAGMA table_info(history)")}
             names = ["timestamp", "command", *sorted(OPTIONAL)]

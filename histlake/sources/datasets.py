@@ -29,7 +29,7 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
 def line_table(spark: SparkSession, path: str) -> DataFrame:
     """line (its number) and text, stripped."""
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "text")).select("line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line", "text")).select("line", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 def nl2bash(spark: SparkSession, folder: str) -> Dataset:
