@@ -64,3 +64,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_shingles(table_: str, key: str) -> str:
+    """Distinct shingles of a table, a row each."""
+    words = f"SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM {table_}"
+    cut = f"list_transform(range(1, greatest(len(ws) - {WIDTH - 1}, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + {WIDTH - 1}), ' '))"
+    return f"SELECT DISTINCT {key}, unnest({cut}) AS s FROM ({words}) WHERE len(ws) > 0"
+
+
+SQL = f"""
+WITH d AS ({_sql_shingles("documents", "doc_id")}), i AS ({_sql_shingles("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, round(n_shared / n_shingles, 6) AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= {THRESHOLD} * n_shingles
+"""

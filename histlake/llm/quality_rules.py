@@ -140,3 +140,32 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_char: float = MAX_CHA
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same verdicts for a reference engine."""
+    gap = r"[\x20\x09-\x0D]+"
+    chars = [f"length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in CLASSES.values()]
+    word_lists = " ".join(f"WHEN '{c}' THEN {common}" for c, common in COMMON.items())
+    part = "CASE WHEN z[{0}] > 0 THEN z[{0}] / {2} * log2(2 * (z[{0}] / {2}) / (z[{0}] / {2} + z[{1}] / {3})) ELSE 0 END"
+    js = lambda p, q: f"(SELECT sqrt(greatest(0, list_sum(list_transform(list_zip(CAST({p} AS DOUBLE[]), CAST({q} AS DOUBLE[])), lambda z: {part.format(1, 2, f'list_sum({p})', f'list_sum({q})')} + {part.format(2, 1, f'list_sum({q})', f'list_sum({p})')})) / 2)))"
+    sums = lambda c, n: "[" + ", ".join(f"coalesce(sum({c}[{i}]), 0)" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{c}'" for c in COMMON)}) THEN lang ELSE '*' END AS lang FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{gap}'), lambda x: x <> '') AS ws, CASE lang {word_lists} ELSE [] END AS common FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) AS s FROM w WHERE len(ws) >= 5)),
+v AS (SELECT r, sum(least(5, coalesce(lead_i - i, 5))) AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS lead_i FROM g WHERE c > 1) GROUP BY r),
+h AS (SELECT w.r, doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{gap}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+  [{", ".join(chars)}, length(t) - ({" + ".join(chars)})] AS cs,
+  CASE WHEN len(common) > 0 THEN list_append(list_transform(common, lambda k: len(list_filter(ws, lambda x: lower(x) = k))), len(list_filter(ws, lambda x: NOT list_contains(common, lower(x))))) ELSE [] END AS wh
+  FROM w LEFT JOIN v USING (r)),
+f AS (SELECT lang, {sums("cs", N_CLASSES)} AS rc, {sums("wh", N_WORDS)} AS rw FROM h WHERE lang <> '*' GROUP BY lang UNION ALL SELECT '*', {sums("cs", N_CLASSES)}, [] FROM h),
+j AS (SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words >= {MIN_WORDS} THEN round({js("cs", "rc")}, 6) END AS char_distance,
+  CASE WHEN n_words >= {MIN_WORDS} AND len(wh) > 0 THEN round({js("wh", "rw")}, 6) END AS word_distance FROM h JOIN f USING (lang))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  n_repeat_words, base_failed, char_distance, word_distance, NOT base_failed AND coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} AS kept FROM j
+"""
+
+
+SQL = _sql()
