@@ -49,31 +49,66 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def common_length(a: str, windows: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of a with each row of windows (code points; -1 matches nothing)."""
-    row = np.zeros((len(windows), windows.shape[1] + 1), np.int32)
-    for c in map(ord, a):
-        take = np.where(windows == c, row[:, :-1] + 1, 0)
-        row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], take), axis=1)
-    return row[:, -1]
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def common_lengths(pattern: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Length of the longest common subsequence of the pattern with each of many texts of one length, given place by
+    place (-1 matches nothing). Bit-parallel: each text's state is one bit for each place of the pattern."""
+    signs, at = np.unique(pattern, return_inverse=True)
+    words = -(-len(pattern) // 64)
+    masks = np.zeros((words, len(signs) + 1), np.uint64)
+    for i, c in enumerate(at):
+        masks[i // 64, c] |= np.uint64(1) << np.uint64(i % 64)
+    state = np.full((words, len(columns[0])), ~np.uint64(0))
+    for column in columns:
+        c = np.searchsorted(signs, column)
+        c = np.where((c < len(signs)) & (signs[np.minimum(c, len(signs) - 1)] == column), c, len(signs))
+        carry = np.uint64(0)
+        for w in range(words):
+            s = state[w]
+            u = s & masks[w][c]
+            total = s + u
+            over = total < s
+            total = total + carry
+            state[w] = total | (s - u)
+            carry = (over | (total < carry)).astype(np.uint64)
+    unset = ~state
+    if len(pattern) % 64:
+        unset[-1] &= (np.uint64(1) << np.uint64(len(pattern) % 64)) - np.uint64(1)
+    return np.bitwise_count(unset).sum(axis=0)
+
+
+def best_windows(short: str, longs: list[str]) -> np.ndarray:
+    """0 to 100 for each of longs, none shorter than short: the best normalised indel similarity of short with a stretch
+    as long as itself, also one that hangs over an end. All texts' stretches are compared together."""
+    m = len(short)
+    gap = np.full(m - 1, -1, np.int64)
+    line = np.concatenate([gap, *(x for t in longs for x in (points(t), gap))])
+    n = len(line) - m + 1
+    used = np.convolve(line >= 0, np.ones(m, np.int64), "valid") if m > 1 else (line >= 0).astype(np.int64)
+    score = 200.0 * common_lengths(points(short), [line[i : i + n] for i in range(m)]) / (m + used)
+    return np.maximum.reduceat(score, np.cumsum([0, *(len(t) + m - 1 for t in longs[:-1])]))
+
+
+def partial_ratios(query: str, texts: list[str]) -> np.ndarray:
+    """0 to 100 for each text: the shorter of the two against the best stretch of the longer. Two empty texts are alike;
+    equal lengths are tried both ways."""
+    out = np.array([100.0 if not query and not t else 0.0 for t in texts])
+    longer = [i for i, t in enumerate(texts) if query and len(t) >= len(query)]
+    # Many stretches at a time, but within some megabytes.
+    part: list[int] = []
+    for i in longer:
+        part.append(i)
+        if sum(len(texts[j]) + len(query) for j in part) > 200_000 or i == longer[-1]:
+            out[part] = best_windows(query, [texts[j] for j in part])
+            part = []
+    for i, t in enumerate(texts):
+        if query and t and len(t) <= len(query):
+            out[i] = max(out[i], best_windows(t, [query])[0])
+    return out
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """0 to 100: the best normalised indel similarity of the shorter text with a stretch of the longer one, also one
-    that hangs over an end; two empty texts are alike. Equal lengths are tried both ways."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    if len(a) == len(b):
-        return max(best_window(a, b), best_window(b, a))
-    return best_window(*sorted((a, b), key=len))
-
-
-def best_window(short: str, long: str) -> float:
-    m, n = len(short), len(long)
-    if short in long:
-        return 100.0
-    points = np.full(n + 2 * (m - 1), -1, np.int64)
-    points[m - 1 : m - 1 + n] = [ord(c) for c in long]
-    windows = np.lib.stride_tricks.sliding_window_view(points, m)
-    used = (windows >= 0).sum(axis=1)
-    return float((200.0 * common_length(short, windows) / (m + used)).max())
+    return float(partial_ratios(a, [b])[0])

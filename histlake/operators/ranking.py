@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from histlake.functions.texts import partial_ratio, tokens
+from histlake.functions.texts import partial_ratios, tokens
 from histlake.functions.vectors import embedder
 from histlake.operators.nearest import nearest_each
 
@@ -52,41 +53,54 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, tokenize=tokens) -> Data
     return ranked(tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")), k)
 
 
-def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, score: Callable[[list[str], pd.Series], list[pd.Series]]) -> DataFrame:
+def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, score: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
     """Compares a stated query set with all texts: a block of queries at a time goes out with the code, each task keeps
-    its k best. Scores of 0 are no match."""
+    its k best of each. score gives a row for each query; scores of 0 are no match."""
     out, block = None, []
 
     def one(block: list) -> DataFrame:
+        ids, asked = np.array([i for i, _ in block], np.int64), [q for _, q in block]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
             for pdf in batches:
-                for (i, _), s in zip(block, score([q for _, q in block], pdf["text"]), strict=True):
-                    best = pd.concat([best, pd.DataFrame({"query_id": i, "doc_id": pdf["doc_id"], "score": s})[lambda x: x["score"] > 0]])
-                best = best.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield best.astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+                pdf = pdf.dropna().sort_values("doc_id")
+                s = score(asked, pdf["text"].tolist()).reshape(len(ids), len(pdf))
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "doc_id": pdf["doc_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, axis=1).ravel()})
+                yield found[found["score"] > 0].astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
         return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
 
     for row in queries.select("query_id", "nl").toLocalIterator():
-        block.append(tuple(row))
+        block.append((row[0], row[1] or ""))
         if len(block) == BLOCK:
             out, block = one(block) if out is None else out.union(one(block)), []
-    return ranked(one(block) if out is None else out.union(one(block)) if block else out, k)
+    if block or out is None:
+        out = one(block) if out is None else out.union(one(block))
+    return ranked(out, k)
+
+
+def contained_words(queries: list[str], texts: list[str]) -> np.ndarray:
+    """How many of each query's words (repeated ones too) each text contains, in lower case. Each distinct word is
+    looked for once in a text."""
+    split = [q.lower().split() for q in queries]
+    place = {w: i for i, w in enumerate(dict.fromkeys(w for q in split for w in q))}
+    counts = np.zeros((len(queries), len(place)), np.float32)
+    for i, q in enumerate(split):
+        for w in q:
+            counts[i, place[w]] += 1
+    found = np.array([[w in low for w in place] for low in map(str.lower, texts)], np.float32).reshape(len(texts), len(place))
+    return (counts @ found.T).astype(np.float64)
 
 
 def naive(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """How many of the query's words (repeated ones too) the text contains, in lower case."""
-    # Queries are a stated set; they are dealt out to every task, so the corpus doesn't move.
-    q = queries.select("query_id", F.filter(F.split(F.trim(F.lower("nl")), r"\s+"), lambda w: w != "").alias("words"))
-    low = corpus.select("doc_id", F.lower("text").alias("low"))
-    n = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    return ranked(low.join(F.broadcast(q)).select("query_id", "doc_id", n.cast("double").alias("score")).filter("score > 0"), k)
+    """How many of the query's words the text contains."""
+    return in_blocks(corpus, queries, k, contained_words)
 
 
 def fuzzy(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best partial similarity, 0 to 100, with case."""
-    return in_blocks(corpus, queries, k, lambda qs, texts: [texts.map(lambda t, q=q: partial_ratio(q, t)) for q in qs])
+    return in_blocks(corpus, queries, k, lambda qs, texts: np.array([partial_ratios(q, texts) for q in qs]))
 
 
 def semantic(corpus: DataFrame, queries: DataFrame, k: int, embed=None, digits: int = 5) -> DataFrame:

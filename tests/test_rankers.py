@@ -1,9 +1,10 @@
+import random
 import sqlite3
 
 import numpy as np
 import pytest
 
-from histlake.functions.texts import partial_ratio, tokens_of
+from histlake.functions.texts import partial_ratio, partial_ratios, tokens_of
 from histlake.functions.vectors import CachedEncoder, hash_encode
 from histlake.operators import evaluation, ranking
 from histlake.sources.datasets import Dataset
@@ -74,6 +75,11 @@ def slow_ratio(a, b):
 def test_partial_ratio():
     for a, b in [("abc", "xxabcxx"), ("abd", "abc"), ("kitten", "sitting now"), ("a", "b"), ("git psh", "git push origin")]:
         assert partial_ratio(a, b) == pytest.approx(slow_ratio(a, b))
+    r = random.Random(0)
+    for _ in range(60):
+        a, b = ("".join(r.choice("abcé🎉 ") for _ in range(r.choice((1, 3, 20, 63, 64, 65, 130)))) for _ in range(2))
+        assert partial_ratio(a, b) == pytest.approx(slow_ratio(a, b))
+    assert partial_ratios("git", ["git push", "", "g", "tig"]).tolist() == [partial_ratio("git", t) for t in ("git push", "", "g", "tig")]
     assert partial_ratio("", "") == 100 and partial_ratio("", "a") == 0
 
 
