@@ -7,9 +7,11 @@ whole sequence). Two documents link when 100 * intersection >= 75 * union.
    shingles of all documents gives the global order of shingles: rare classes first, then by hash.
 2. A set of n shingles that links to any other shares one of its n - ceil(0.75 n) + 1 first with it (prefix filter), so
    only these are dealt out, packed, by shingle. What only one set has is dropped at once.
-3. Sets that stand next to each other under many shingles are verified first and joined, so a large group of near
-   copies collapses without all its pairs. Then all pairs of sets of different groups under one shingle that pass the
-   bound of their shared prefix are verified; pairs inside a group can add no link between groups.
+3. Under each shingle, each set is paired with the set before it and with a few hubs. Pairs that come under enough
+   shingles are verified first and joined, so a large group of near copies collapses without all its pairs. Under
+   shingles that many sets have, each set's nearest of another group by bitmap follows, in rounds. Then all pairs of
+   sets of different groups under one shingle that pass the
+   bounds of their lengths, bitmaps and shared prefix are verified; pairs inside a group add no link between groups.
 4. Verification stores the partners' whole ordered sets in a prefix tree, walks it with the probing set, shares the
    overlap of common beginnings, and prunes subtrees that remaining lengths rule out.
 5. Verified links give components by star contraction.
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.llm.common import small, table, written
@@ -34,36 +35,64 @@ from histlake.llm.components import components
 WIDTH, NUMER, DENOM = 5, 75, 100
 #: The count sketch: so many cells in slices, whatever the input (2 MB from each task).
 CELL_BITS, SLICES = 20, 16
+#: Sets that every other set under a shingle is paired with at first.
+HUBS = 3
+#: Sets under a shingle from which bitmaps are compared.
+MANY = 32
+#: Rounds in which sets under common shingles are paired with their nearest only, before all pairs that may link.
+NEAREST_ROUNDS = 1
+#: Pairs that a task sums up before it hands them on.
+PAIR_ROWS = 300_000
 #: Bytes of packed prefix entries that one reducing task gets.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 #: Stands for a null doc_id on the way through Python.
 NOBODY = -(1 << 63)
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4")])
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """Remembers words' hashes, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
+#: Random numbers of bytes, and powers of an odd base and of its inverse: a word's hash is a polynomial in its bytes.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MULT[0])
+BASE = 0x9FB21C651E98DF25
+GAPS = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+class Powers:
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 2 * n
+            self.up, self.down = (np.cumprod(np.r_[1, np.full(size, b, np.uint64)].astype(np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word of a text's bytes, by differences of one running sum."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[True, GAPS[raw], True]))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = POWERS.upto(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTES[raw] * up[: len(raw)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not words:
+    w = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if isinstance(text, str) else []
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = np.fromiter((hashes[x] for x in words), np.uint64, len(words))
     k = min(WIDTH, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
@@ -71,6 +100,12 @@ def shingle_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(h))
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """A set as the parity of how many of its shingles fall on each of 1,024 bits."""
+    bits = np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1
+    return np.packbits(bits).tobytes()
+
+
 def set_id(h: np.ndarray) -> int:
     """A hash of a whole set, as a signed 64-bit number."""
     both = np.array([h.sum(dtype=np.uint64) + np.uint64(len(h)), np.bitwise_xor.reduce(h)], np.uint64)
@@ -87,22 +122,22 @@ def needed(a, b):
 
 
 def surveyed(docs: DataFrame) -> DataFrame:
-    """Each document's n and sid, and each task's slices of the count sketch, in one pass."""
+    """Each document's n, sid and bitmap, and each task's slices of the count sketch, in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, cells = WordHashes(), np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(1 << CELL_BITS, np.int64)
         for pdf in batches:
-            sets = [shingle_hashes(x, hashes) for x in pdf["text"]]
+            sets = [shingle_hashes(x) for x in pdf["text"]]
             for i in range(0, len(sets), 500):
                 if len(all_ := np.concatenate(sets[i : i + 500])):
                     cells += np.bincount((all_ >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sid": pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "slice": pd.Series([None] * len(sets), dtype="Int32"), "cells": pd.Series([None] * len(sets), dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sid": pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "bits": [bitmap(s) if len(s) else None for s in sets], "slice": pd.Series([None] * len(sets), dtype="Int32"), "cells": pd.Series([None] * len(sets), dtype=object)})
         parts = np.minimum(cells, 65535).astype("<u2").reshape(SLICES, -1)
         if cells.any():
-            yield pd.DataFrame({"doc_id": NOBODY, "n": 0, "sid": pd.Series([None] * SLICES, dtype="Int64"), "slice": pd.Series(range(SLICES), dtype="Int32"), "cells": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"doc_id": NOBODY, "n": 0, "sid": pd.Series([None] * SLICES, dtype="Int64"), "bits": None, "slice": pd.Series(range(SLICES), dtype="Int32"), "cells": [p.tobytes() for p in parts]})
 
     # A column with nulls would come as floats, which can't hold large ids.
-    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sid long, slice int, cells binary")
+    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sid long, bits binary, slice int, cells binary")
     return written(out.withColumn("doc_id", F.nullif("doc_id", F.lit(NOBODY))), "survey")
 
 
@@ -131,7 +166,7 @@ def prefixes(docs: DataFrame, classes, buckets: int) -> DataFrame:
     """(bucket, packed entries) of all sets' prefixes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def packed() -> pd.DataFrame:
             e = np.concatenate(held)
@@ -142,7 +177,7 @@ def prefixes(docs: DataFrame, classes, buckets: int) -> DataFrame:
 
         for pdf in batches:
             for text in pdf["text"]:
-                h = shingle_hashes(text, hashes)
+                h = shingle_hashes(text)
                 if not len(h) or (sid := set_id(h)) in seen:
                     continue
                 seen.add(sid)
@@ -165,17 +200,30 @@ def summed(a, b, na, nb) -> pd.DataFrame:
 
 
 def runs_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's shingles that two sets or more have: their entries, and the pairs of sets next to each other."""
-    e = np.unique(np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["entries"]]))
+    """A bucket's shingles that two sets or more have: their entries, and pairs that connect them: each set with the one before it and with few hubs."""
+    e = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["entries"]])
     e = e[np.lexsort((e["sid"], e["n"], e["token"]))]
-    next_ = (e["token"][1:] == e["token"][:-1]) & (e["n"][:-1].astype(np.int64) * DENOM >= NUMER * e["n"][1:].astype(np.int64))
-    on = np.zeros(len(e), bool)
-    on[1:] |= next_
-    on[:-1] |= next_
-    lo, hi = e[:-1][next_], e[1:][next_]
-    pairs = summed(lo["sid"], hi["sid"], lo["n"].astype(np.int64), hi["n"].astype(np.int64))
-    pairs["token"], e = 0, e[on]
-    runs = pd.DataFrame({"a": e["sid"], "b": 0, "na": e["n"].astype(np.int64), "nb": 0, "c": 0, "token": e["token"].view(np.int64)})
+    e = e[np.r_[True, (e["token"][1:] != e["token"][:-1]) | (e["sid"][1:] != e["sid"][:-1])]]
+    token, n, at = e["token"], e["n"].astype(np.int64), np.arange(len(e))
+    first = np.maximum.accumulate(np.where(np.r_[True, token[1:] != token[:-1]], at, 0)) if len(e) else at
+    # Partners: the set before, and the first few under the shingle that are not too short; for a group of near copies
+    # these are the same few under most shingles, so their counts add up.
+    pairs, on = [], np.zeros(len(e), bool)
+    hubs = first.copy()
+    while (short := n[hubs] * DENOM < NUMER * n).any():
+        hubs[short] += 1
+    for other in (at - 1, *(hubs + k for k in range(HUBS))):
+        i = np.flatnonzero((other >= first) & (other < at))
+        i = i[n[other[i]] * DENOM >= NUMER * n[i]]
+        pairs.append(np.stack([other[i], i]))
+        on[i] = on[other[i]] = True
+    lo, hi = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    pairs = summed(e["sid"][lo], e["sid"][hi], n[lo], n[hi])
+    pairs["token"] = 0
+    # Of an entry nb is how many sets have its shingle.
+    length = np.bincount(first, minlength=len(e))[first]
+    e, length = e[on], length[on]
+    runs = pd.DataFrame({"a": e["sid"], "b": 0, "na": e["n"].astype(np.int64), "nb": length, "c": 0, "token": np.ascontiguousarray(e["token"]).view(np.int64)})
     return pd.concat([runs, pairs])[["a", "b", "na", "nb", "c", "token"]]
 
 
@@ -249,50 +297,76 @@ def verify(docs: DataFrame, survey: DataFrame, pairs: DataFrame, classes) -> Dat
     one = written(survey.filter("sid is not null").join(small(wanted), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"), "wanted")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
-            keys = [(s, h) for s, x in zip(pdf["sid"], pdf["text"], strict=True) if set_id(h := shingle_hashes(x, hashes)) == s]
+            keys = [(s, h) for s, x in zip(pdf["sid"], pdf["text"], strict=True) if set_id(h := shingle_hashes(x)) == s]
             yield pd.DataFrame({"sid": [s for s, _ in keys], "keys": [ordered(h, classes.value).tobytes() for _, h in keys]})
 
     # Rows that repeat an id may hold other texts; the set's hash tells them apart.
     held = docs.select("doc_id", "text").join(small(one), "doc_id").mapInPandas(sets, "sid long, keys binary")
-    partners = held.join(small(pairs), F.col("sid") == F.col("b")).select("a", "b", F.lit(1).alias("own"), "keys")
-    probes = held.join(small(pairs.select("a").distinct()), F.col("sid") == F.col("a")).select("a", F.col("a").alias("b"), F.lit(0).alias("own"), "keys")
-    return partners.union(probes).repartition("a").sortWithinPartitions("a", "own", "b").mapInPandas(verified, "u long, v long")
-
-
-def crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries sorted by (token, n): all pairs of one shingle's sets of different groups whose lengths allow a link."""
-    held = pd.DataFrame()
-
-    def pairs(e: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, n, sid, group = (e[c].to_numpy() for c in ("token", "na", "a", "label"))
-        # Shift by shift: element i with element i + k, while any such pair is under one shingle.
-        out, size, k = [], 0, 0
-        live = np.arange(len(e))
-        while len(live):
-            k += 1
-            live = live[live + k < len(e)]
-            live = live[(token[live] == token[live + k]) & (n[live] * DENOM >= NUMER * n[live + k])]
-            i = live[group[live] != group[live + k]]
-            a, b = sid[i], sid[i + k]
-            swap = (n[i] == n[i + k]) & (a > b)
-            out.append(np.stack([np.where(swap, b, a), np.where(swap, a, b), n[i], n[i + k]]))
-            size += len(i)
-            if size > 500_000:
-                yield summed(*np.concatenate(out, axis=1))
-                out, size = [], 0
-        if size:
+    # A set goes to each pair it is the partner in, and once to those it probes; it is made once for all.
+    roles = pairs.select(F.col("b").alias("sid"), "a", F.lit(1).alias("own")).union(pairs.select("a", "a", F.lit(0)).distinct())
+    dealt = held.join(small(written(roles, "roles")), "sid").select("a", F.col("sid").alias("b"), "own", "keys")
+    return dealt.repartition("a").sortWithinPartitions("a", "own", "b").mapInPandas(verified, "u long, v long")
+
+
+def cross_pairs(e: pd.DataFrame, nearest: bool) -> Iterator[pd.DataFrame]:
+    """Pairs of different groups under one shingle whose lengths, and bitmaps if there are any, allow a link: all, or
+    for each set (one) only that with the least differing bitmap. e is sorted by (token, n)."""
+    token, n, sid, group = (e[c].to_numpy() for c in ("token", "na", "a", "label"))
+    bits = np.frombuffer(b"".join(e["bits"]), np.uint64).reshape(len(e), -1) if "bits" in e else None
+    out, size, k, live = [], 0, 0, np.arange(len(e))
+    best, least = np.full(len(e), -1), np.full(len(e), np.inf)
+
+    def packed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        swap = (n[i] == n[j]) & (sid[i] > sid[j])
+        return np.stack([np.where(swap, sid[j], sid[i]), np.where(swap, sid[i], sid[j]), n[i], n[j]])
+
+    # Shift by shift: element i with element i + k, while any such pair is under one shingle.
+    while len(live):
+        k += 1
+        live = live[live + k < len(e)]
+        live = live[(token[live] == token[live + k]) & (n[live] * DENOM >= NUMER * n[live + k])]
+        i = live[group[live] != group[live + k]]
+        if bits is not None:
+            # Sets whose parities differ on d bits have at most (a + b - d) / 2 in common.
+            apart = np.concatenate([np.bitwise_count(bits[j] ^ bits[j + k]).sum(axis=1, dtype=np.int64) for j in np.array_split(i, len(i) // 50_000 + 1)])
+            near = 2 * needed(n[i], n[i + k]) <= n[i] + n[i + k] - apart
+            i, apart = i[near], apart[near] / (n[i] + n[i + k])[near]
+        if nearest:
+            for one, other in ((i, i + k), (i + k, i)):
+                closer = apart < least[one]
+                best[one[closer]], least[one[closer]] = other[closer], apart[closer]
+            continue
+        out.append(packed(i, i + k))
+        size += len(i)
+        if size > PAIR_ROWS:
             yield summed(*np.concatenate(out, axis=1))
+            out, size = [], 0
+    if nearest:
+        i = np.flatnonzero(best >= 0)
+        a, b, na, nb = packed(np.minimum(i, best[i]), np.maximum(i, best[i]))
+        # Here c is how far apart they are, in millionths.
+        yield pd.DataFrame({"one": sid[i], "a": a, "b": b, "na": na, "nb": nb, "c": (least[i] * 1e6).astype(np.int64)})
+        return
+    if size:
+        yield summed(*np.concatenate(out, axis=1))
 
-    for pdf in batches:
-        held = pd.concat([held, pdf])
-        whole = held["token"] != held["token"].iloc[-1] if len(held) else pd.Series(dtype=bool)
-        if whole.any():
-            yield from pairs(held[whole])
-            held = held[~whole]
-    if len(held):
-        yield from pairs(held)
+
+def crossing(nearest: bool = False):
+    """cross_pairs of batches of entries sorted by (token, n); a shingle's entries may go over batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for pdf in batches:
+            held = pd.concat([held, pdf])
+            whole = held["token"] != held["token"].iloc[-1] if len(held) else pd.Series(dtype=bool)
+            if whole.any():
+                yield from cross_pairs(held[whole], nearest)
+                held = held[~whole]
+        if len(held):
+            yield from cross_pairs(held, nearest)
+
+    return run
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -304,13 +378,25 @@ def classes_of(docs: DataFrame) -> DataFrame:
     total = people.agg(F.sum(F.floor(F.col("n") * (DENOM - NUMER) / DENOM) + 1)).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * ENTRY.itemsize // BUCKET_BYTES)
     found = written(prefixes(docs, classes, buckets).groupBy("bucket").applyInPandas(runs_of, "a long, b long, na long, nb long, c long, token long"), "runs")
-    near = written(verify(docs, people, promising(found.filter("c > 0")), classes), "near-links")
-    groups = written(components(near), "groups")
-    entries = found.filter("c = 0").select("a", "na", "token").join(small(groups), F.col("a") == F.col("vertex"), "left")
-    entries = entries.select("token", "na", "a", F.coalesce("component", "a").alias("label"))
-    across = entries.repartition("token").sortWithinPartitions("token", "na", "a").mapInPandas(crossing, "a long, b long, na long, nb long, c long")
-    far = written(verify(docs, people, promising(across), classes), "far-links")
-    whole = components(near.union(far)).withColumnRenamed("vertex", "sid")
+    links = written(verify(docs, people, promising(found.filter("c > 0")), classes), "links")
+    bits = people.filter("sid is not null").groupBy("sid").agg(F.first("bits").alias("bits")).withColumnRenamed("sid", "a")
+    few, many = found.filter((F.col("c") == 0) & (F.col("nb") < MANY)), found.filter((F.col("c") == 0) & (F.col("nb") >= MANY))
+    many = written(many.select("token", "na", "a").join(bits, "a"), "many")
+
+    def across(entries: DataFrame, columns: list[str], nearest: bool = False) -> DataFrame:
+        named = entries.join(small(groups), F.col("a") == F.col("vertex"), "left").withColumn("label", F.coalesce("component", "a"))
+        dealt = named.select("token", "na", "a", "label", *columns).repartition("token").sortWithinPartitions("token", "na", "a")
+        return dealt.mapInPandas(crossing(nearest), "one long, " * nearest + "a long, b long, na long, nb long, c long")
+
+    groups = written(components(links), "groups")
+    for _ in range(NEAREST_ROUNDS):
+        # Each set's nearest of another group: one pair for each set, so most groups that link are joined here.
+        best = across(many, ["bits"], nearest=True).groupBy("one").agg(F.min_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
+        more = written(verify(docs, people, best.select("p.*").distinct(), classes), "links")
+        links = links.union(more)
+        groups = written(components(links), "groups")
+    rest = across(few, []).union(across(many, ["bits"]))
+    whole = components(links.union(written(verify(docs, people, promising(rest), classes), "links"))).withColumnRenamed("vertex", "sid")
     # The component's name is its smallest doc_id. Sums by set come first, so a hot set is one row there.
     least = people.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(whole, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -322,3 +408,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - {WIDTH - 1}, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + {WIDTH - 1}), ' '))) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {DENOM} * o >= {NUMER} * (x.n + y.n - o)),
+c AS (SELECT doc_id AS v, doc_id AS r FROM w UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.v WHERE c.r < e.b)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(r) AS m FROM c GROUP BY v) ON v = w.doc_id
+"""
