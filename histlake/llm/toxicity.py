@@ -26,6 +26,10 @@ from histlake.llm.learners import BoostedTrees, Isotonic, out_of_fold
 #: Bounds of the fitting sample: rows of each label, in an order of hashes, and of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 3000, 5000, 4000
 STEMS, LEAST_DF, LEAST_RATIO = (4, 5), 4, 20.0
+#: Least log-likelihood ratio of a term, against standing in toxic texts by chance as often as it does.
+LEAST_EVIDENCE = 10.0
+#: Words of a toxic text that may each bring a term into the lexicon.
+DEPTH = 2
 CUT = 0.7
 #: Second-person words.
 YOU = frozenset("you your yours yourself du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú usted ustedes vosotros tuyo".split())
@@ -36,10 +40,14 @@ PLAIN = re.compile(r"[^\W\d_]+")
 NEAR = 8
 
 
+def forms(word: str) -> list[str]:
+    """A word, and its beginnings with a mark."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)]
+
+
 def terms(text: str) -> set[str]:
-    """Distinct lower-case words, and their beginnings with a mark."""
-    words = set(PLAIN.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
+    """Distinct lower-case words, and their beginnings."""
+    return {t for w in set(PLAIN.findall(text.lower())) for t in forms(w)}
 
 
 class Lexicon:
@@ -112,8 +120,37 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         return Lexicon({})
     ratio = (F.col("toxic") + 0.5) / (total["toxic"] + 1) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
     best = found.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_DF)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    best = best.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).select("term", F.log("ratio").alias("w"))
-    return Lexicon({r["term"]: r["w"] for r in best.collect()})
+    share, n = total["toxic"] / (total["toxic"] + total["clean"]), F.col("toxic") + F.col("clean")
+    bits = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    best = best.withColumn("evidence", bits(F.col("toxic"), share) + bits(F.col("clean"), 1 - share)).filter(F.col("evidence") >= LEAST_EVIDENCE)
+    best = best.orderBy(F.desc(F.round("evidence", 6)), F.desc(F.length("term")), "term").limit(MOST_TERMS).select("term", F.log("ratio").alias("w"))
+    ranked = [(r["term"], r["w"]) for r in best.collect()]
+    known = frozenset(t for t, _ in ranked)
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [set(PLAIN.findall((t or "").lower())) for t in pdf["text"]]
+            yield pd.DataFrame({"words": [sorted(w for w in x if any(t in known for t in forms(w))) for x in words]})
+
+    texts = [r["words"] for r in rows.filter("toxic = 1").select("text").mapInPandas(matched, "words array<string>").collect()]
+    return Lexicon(dict(explaining(ranked, texts)))
+
+
+def explaining(ranked: list[tuple[str, float]], texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+    """Of terms, best first, those that still explain some texts: ones with fewer than DEPTH words of the terms before.
+    Words that copies of a toxic text share by chance explain nothing that its toxic words haven't."""
+    where: dict[str, list[tuple[int, str]]] = {}
+    for i, words in enumerate(texts):
+        for w in words:
+            for t in forms(w):
+                where.setdefault(t, []).append((i, w))
+    depth, used = Counter(), set()
+    for term, weight in ranked:
+        new = [x for x in where.get(term, ()) if x not in used]
+        if len({i for i, _ in new if depth[i] < DEPTH}) >= LEAST_DF:
+            used.update(new)
+            depth.update(i for i, _ in new)
+            yield term, weight
 
 
 class Scorer:
