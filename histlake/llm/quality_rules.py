@@ -25,7 +25,7 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del"],
 }
 SYMBOLS = "#*$%&|<>"
-MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.25, 0.275
+MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.25, 0.3
 #: Character classes by a pattern of what is not in them; "other" is the rest.
 CLASSES = {"lower": r"\P{Ll}+", "upper": r"\P{Lu}+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>+=~^@\\/_{}\[\]]+", "mark": r"[^.,;:!?'\"()-]+", "gap": r"[^\x20\x09-\x0D]+"}
 N_CLASSES, N_WORDS = len(CLASSES) + 1, 11
