@@ -111,3 +111,9 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_more_rows_than_a_slice(spark):
+    rows = [(i, prose(i % 700, 12)) for i in range(1200)]
+    got = {d: c for d, _, c in run(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))}
+    assert got == {i: i % 700 for i in range(1200)}
