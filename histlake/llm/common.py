@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from histlake.shipping import ship
 
 #: The characters between words: space and \x09 to \x0D.
 GAP = "[\\x20\\x09-\\x0D]+"
+#: Whole texts go to Python workers in small batches, unless the session says otherwise.
+ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Most rows of a few numbers each that a side may have and still be broadcast (about 16 MB).
 BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get(ARROW_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(ARROW_BYTES, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def local_scratch() -> str:
+    """For tests and single machines: a folder that goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="histlake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.gettempdir() + "/histlake-scratch"
+        base = local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Wraps a task's function on batches: workers are used again, so what one task needed must not stay."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a written table, which outlives any executor."""
     path = scratch(df.sparkSession, name)

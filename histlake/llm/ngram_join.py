@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from histlake.llm.common import small, table, written
+from histlake.llm.common import lean, small, table, trim, written
 from histlake.llm.components import components
 
 WIDTH, NUMER, DENOM = 5, 75, 100
@@ -42,9 +42,9 @@ MANY = 32
 #: Rounds in which sets under common shingles are paired with their nearest only, before all pairs that may link.
 NEAREST_ROUNDS = 1
 #: Pairs that a task sums up before it hands them on.
-PAIR_ROWS = 300_000
+PAIR_ROWS = 150_000
 #: Bytes of packed prefix entries that one reducing task gets.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Stands for a null doc_id on the way through Python.
 NOBODY = -(1 << 63)
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4")])
@@ -121,23 +121,29 @@ def needed(a, b):
     return -(-NUMER * (a + b) // (DENOM + NUMER))
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """The same rows, few at a time, so that long texts' sets don't pile up."""
+    for pdf in batches:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i : i + rows].reset_index(drop=True)
+
+
 def surveyed(docs: DataFrame) -> DataFrame:
     """Each document's n, sid and bitmap, and each task's slices of the count sketch, in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [shingle_hashes(x) for x in pdf["text"]]
-            for i in range(0, len(sets), 500):
-                if len(all_ := np.concatenate(sets[i : i + 500])):
-                    cells += np.bincount((all_ >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            places, times = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
+            cells[places.astype(np.int64)] += times
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sid": pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "bits": [bitmap(s) if len(s) else None for s in sets], "slice": pd.Series([None] * len(sets), dtype="Int32"), "cells": pd.Series([None] * len(sets), dtype=object)})
         parts = np.minimum(cells, 65535).astype("<u2").reshape(SLICES, -1)
         if cells.any():
             yield pd.DataFrame({"doc_id": NOBODY, "n": 0, "sid": pd.Series([None] * SLICES, dtype="Int64"), "bits": None, "slice": pd.Series(range(SLICES), dtype="Int32"), "cells": [p.tobytes() for p in parts]})
 
     # A column with nulls would come as floats, which can't hold large ids.
-    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sid long, bits binary, slice int, cells binary")
+    out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").mapInPandas(lean(run), "doc_id long, n long, sid long, bits binary, slice int, cells binary")
     return written(out.withColumn("doc_id", F.nullif("doc_id", F.lit(NOBODY))), "survey")
 
 
@@ -191,7 +197,7 @@ def prefixes(docs: DataFrame, classes, buckets: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.select("text").mapInPandas(run, "bucket int, entries binary")
+    return docs.select("text").mapInPandas(lean(run), "bucket int, entries binary")
 
 
 def summed(a, b, na, nb) -> pd.DataFrame:
@@ -224,6 +230,7 @@ def runs_of(pdf: pd.DataFrame) -> pd.DataFrame:
     length = np.bincount(first, minlength=len(e))[first]
     e, length = e[on], length[on]
     runs = pd.DataFrame({"a": e["sid"], "b": 0, "na": e["n"].astype(np.int64), "nb": length, "c": 0, "token": np.ascontiguousarray(e["token"]).view(np.int64)})
+    trim()
     return pd.concat([runs, pairs])[["a", "b", "na", "nb", "c", "token"]]
 
 
@@ -297,16 +304,16 @@ def verify(docs: DataFrame, survey: DataFrame, pairs: DataFrame, classes) -> Dat
     one = written(survey.filter("sid is not null").join(small(wanted), "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"), "wanted")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             keys = [(s, h) for s, x in zip(pdf["sid"], pdf["text"], strict=True) if set_id(h := shingle_hashes(x)) == s]
             yield pd.DataFrame({"sid": [s for s, _ in keys], "keys": [ordered(h, classes.value).tobytes() for _, h in keys]})
 
     # Rows that repeat an id may hold other texts; the set's hash tells them apart.
-    held = docs.select("doc_id", "text").join(small(one), "doc_id").mapInPandas(sets, "sid long, keys binary")
+    held = docs.select("doc_id", "text").join(small(one), "doc_id").mapInPandas(lean(sets), "sid long, keys binary")
     # A set goes to each pair it is the partner in, and once to those it probes; it is made once for all.
     roles = pairs.select(F.col("b").alias("sid"), "a", F.lit(1).alias("own")).union(pairs.select("a", "a", F.lit(0)).distinct())
     dealt = held.join(small(written(roles, "roles")), "sid").select("a", F.col("sid").alias("b"), "own", "keys")
-    return dealt.repartition("a").sortWithinPartitions("a", "own", "b").mapInPandas(verified, "u long, v long")
+    return dealt.repartition("a").sortWithinPartitions("a", "own", "b").mapInPandas(lean(verified), "u long, v long")
 
 
 def cross_pairs(e: pd.DataFrame, nearest: bool) -> Iterator[pd.DataFrame]:
@@ -386,7 +393,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     def across(entries: DataFrame, columns: list[str], nearest: bool = False) -> DataFrame:
         named = entries.join(small(groups), F.col("a") == F.col("vertex"), "left").withColumn("label", F.coalesce("component", "a"))
         dealt = named.select("token", "na", "a", "label", *columns).repartition("token").sortWithinPartitions("token", "na", "a")
-        return dealt.mapInPandas(crossing(nearest), "one long, " * nearest + "a long, b long, na long, nb long, c long")
+        return dealt.mapInPandas(lean(crossing(nearest)), "one long, " * nearest + "a long, b long, na long, nb long, c long")
 
     groups = written(components(links), "groups")
     for _ in range(NEAREST_ROUNDS):

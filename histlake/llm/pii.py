@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from histlake.llm.common import table
+from histlake.llm.common import lean, table
 
 #: For queries and tests only. Deployments pass their own secret.
 DEMO_KEY = b"histlake demonstration key"
@@ -251,7 +251,7 @@ def pseudonymise(df: DataFrame, key: bytes = DEMO_KEY, text: str = "text", spans
                 cols = {n: part[n] for n in part.schema.names if n != spans} | {text: pa.array([x for x, _ in done], pa.string()), spans: own}
                 yield pa.RecordBatch.from_pydict({f.name: cols[f.name] for f in schema})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

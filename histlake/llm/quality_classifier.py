@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from histlake.llm.common import held_out, table, written
+from histlake.llm.common import held_out, lean, table, written
 from histlake.llm.learners import BoostedTrees, Isotonic, Logistic, folds
 
 #: Bounds of the fitting sample: labelled rows, and rows of the unlabelled pool, in an order of hashes.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
             yield pd.DataFrame({"text": list(text), "meta": list(meta), "y": pdf["y"]})
 
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(measure, "text array<double>, meta array<double>, y int").toPandas()
+    got = rows.mapInPandas(lean(measure), "text array<double>, meta array<double>, y int").toPandas()
     y = got["y"].to_numpy().astype(float)
     text, meta = (np.array(got[c].tolist()).reshape(len(got), -1 if len(got) else 1) for c in ("text", "meta"))
     if len(got):  # the fit doesn't depend on the order of rows
@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
                 cols["predicted"] = pa.array((scores[2] >= CUT).astype("int32"), pa.int32())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.mapInArrow(run, T.StructType([*kept, *new]))
+    return docs.mapInArrow(lean(run), T.StructType([*kept, *new]))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from histlake.llm.common import table
+from histlake.llm.common import lean, table
 
 MODEL = os.environ.get("HISTLAKE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -252,8 +252,10 @@ def encode(df: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
                 cols["n_tokens"] = pa.array(n, mask=~there)
                 cols["round_trip"] = pa.array(good, mask=~there)
                 yield pa.RecordBatch.from_pydict(cols)
+        if c.words is not None:
+            c.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
