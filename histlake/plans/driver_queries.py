@@ -301,7 +301,8 @@ def cosine(spark, sf_dir):
     return v.select(F.col("command_id").alias("vec_id"), (F.round(dot(F.col("embedding"), F.lit(list(map(float, q)))), 6) + 0.0).alias("score"))
 
 
-#: The evaluation set of the driver's tables: documents are the corpus, benchmark items the requests.
+#: The evaluation set of the driver's tables: documents are the corpus, benchmark items the requests. The SQL knows ASCII
+#: terms only, and so do the queries held against it; those named _unicode, and the fusion, use the rankers' own tokens.
 CORPUS = "d AS (SELECT doc_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS nl FROM benchmark)"
 TOKENS = "regexp_extract_all(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+')"
 
@@ -324,6 +325,11 @@ def rank_token_overlap(spark, sf_dir):
     return rounded(ranking.token_overlap(*corpus_and_queries(spark, sf_dir), 5, tokenize=ascii_tokens))
 
 
+@query()
+def rank_token_overlap_unicode(spark, sf_dir):
+    return rounded(ranking.token_overlap(*corpus_and_queries(spark, sf_dir), 5))
+
+
 BM25 = f"""WITH {TERMS}, l AS (SELECT doc_id, len({TOKENS.format('text')}) AS len FROM d), a AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), qf AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY query_id, term),
 i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, a),
@@ -335,6 +341,11 @@ def rank_bm25(spark, sf_dir):
     return rounded(ranking.bm25(*corpus_and_queries(spark, sf_dir), 5, tokenize=ascii_tokens))
 
 
+@query()
+def rank_bm25_unicode(spark, sf_dir):
+    return rounded(ranking.bm25(*corpus_and_queries(spark, sf_dir), 5))
+
+
 NAIVE = f"WITH {CORPUS}, w AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(nl), '\\s+'), lambda x: x <> '')) AS w FROM q), s AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM d JOIN w ON contains(lower(d.text), w.w) GROUP BY query_id, doc_id)"
 
 
@@ -355,11 +366,11 @@ def rank_semantic(spark, sf_dir):
     return rounded(ranking.semantic(*corpus_and_queries(spark, sf_dir), 5))
 
 
-def judged(spark, sf_dir, ranker) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def judged(spark, sf_dir, ranker, tokenize=ascii_tokens) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """corpus, queries, gold and ranks. A request's golds are the documents that hold it."""
     corpus, queries = corpus_and_queries(spark, sf_dir)
     gold = corpus.join(F.broadcast(queries), F.contains("text", "nl")).select("query_id", "text")
-    return corpus, queries, gold, evaluation.gold_ranks(ranker(corpus, queries, 5, tokenize=ascii_tokens), corpus, queries, gold)
+    return corpus, queries, gold, evaluation.gold_ranks(ranker(corpus, queries, 5, tokenize=tokenize), corpus, queries, gold)
 
 
 GT = "gt AS (SELECT DISTINCT query_id, text FROM d JOIN q ON contains(d.text, q.nl))"
@@ -367,31 +378,46 @@ RANKS = ", k AS (SELECT query_id, min(rank) AS rank FROM t JOIN d USING (doc_id)
 
 
 @query(f"{BM25}, t AS ({TOP}), {GT} {RANKS} SELECT query_id, CAST(rank AS BIGINT) AS rank FROM e")
-def eval_per_query_ranks(spark, sf_dir):
-    return judged(spark, sf_dir, ranking.bm25)[3].select("query_id", F.col("rank").cast("long").alias("rank"))
+def eval_per_query_ranks(spark, sf_dir, tokenize=ascii_tokens):
+    return judged(spark, sf_dir, ranking.bm25, tokenize)[3].select("query_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def eval_per_query_ranks_unicode(spark, sf_dir):
+    return eval_per_query_ranks(spark, sf_dir, tokens)
 
 
 @query(f"""{BM25}, t AS ({TOP}), {GT} {RANKS} SELECT count(*) AS n_queries, (SELECT count(*) FROM d) AS n_corpus, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1,
 round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, round(least(1.0, (SELECT count(*) FROM gt) * 5.0 / count(*) / (SELECT count(*) FROM d)), 6) AS random_baseline_recall_at_5 FROM e""")
-def eval_metrics(spark, sf_dir):
-    corpus, _, gold, ranks = judged(spark, sf_dir, ranking.bm25)
+def eval_metrics(spark, sf_dir, tokenize=ascii_tokens):
+    corpus, _, gold, ranks = judged(spark, sf_dir, ranking.bm25, tokenize)
     out = evaluation.metrics(ranks, corpus, gold)
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query()
+def eval_metrics_unicode(spark, sf_dir):
+    return eval_metrics(spark, sf_dir, tokens)
+
+
 VERDICT = f"""{BM25}, t AS ({TOP}), {GT} {RANKS}, s2 AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT * FROM dt) JOIN (SELECT DISTINCT * FROM qt) USING (term) GROUP BY query_id, doc_id),
 t2 AS ({TOP.replace("FROM s)", "FROM s2)")}), k2 AS (SELECT query_id, min(rank) AS rank FROM t2 JOIN d USING (doc_id) JOIN gt USING (query_id, text) GROUP BY query_id), f AS (SELECT e.query_id, k2.rank AS a, e.rank AS b FROM e LEFT JOIN k2 USING (query_id))
 SELECT query_id, CAST(a AS BIGINT) AS overlap_rank, CAST(b AS BIGINT) AS bm25_rank, CASE WHEN a IS NULL AND b IS NULL THEN 'both-fail' WHEN a IS NULL THEN 'bm25-only' WHEN b IS NULL THEN 'overlap-only' WHEN a = b THEN 'tie' WHEN a < b THEN 'overlap-wins' ELSE 'bm25-wins' END AS verdict FROM f"""
 
 
 @query(VERDICT)
-def ranker_verdict(spark, sf_dir):
-    first, second = (judged(spark, sf_dir, r)[3] for r in (ranking.token_overlap, ranking.bm25))
+def ranker_verdict(spark, sf_dir, tokenize=ascii_tokens):
+    first, second = (judged(spark, sf_dir, r, tokenize)[3] for r in (ranking.token_overlap, ranking.bm25))
     out = evaluation.verdicts(first, second, ("overlap", "bm25"))
     return out.select("query_id", F.col("overlap_rank").cast("long").alias("overlap_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), "verdict")
 
 
+@query()
+def ranker_verdict_unicode(spark, sf_dir):
+    return ranker_verdict(spark, sf_dir, tokens)
+
+
 @query()
 def rank_fusion(spark, sf_dir):
     corpus, queries = corpus_and_queries(spark, sf_dir)
-    return rounded(ranking.fused([r(corpus, queries, 20, tokenize=ascii_tokens) for r in (ranking.bm25, ranking.token_overlap)], 5))
+    return rounded(ranking.fused([r(corpus, queries, 20) for r in (ranking.bm25, ranking.token_overlap)], 5))
