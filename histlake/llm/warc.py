@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -213,17 +214,21 @@ class CaptureIndex:
 
 
 def resolve(requests: DataFrame, blocks: DataFrame) -> DataFrame:
-    """url_key, page: requests by the thousand. Each is binary-searched in the broadcast directory, meets its block's
-    other requests there, and is binary-searched in the block. Gives archive, start, size of each request."""
+    """url_key, page: requests by the thousand. Each is binary-searched in the broadcast directory, goes to every block
+    that may hold it (captures of one key can run over blocks), meets the block's other requests there, and is
+    binary-searched in the block. Gives archive, start, size of each capture that was asked for."""
     index = CaptureIndex(blocks)
     directory = requests.sparkSession.sparkContext.broadcast((index.firsts, index.names))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         firsts, names = directory.value
         for pdf in batches:
-            at = [bisect.bisect_right(firsts, x) - 1 for x in zip(pdf["url_key"], pdf["page"], strict=True)]
-            pdf["block"] = [names[max(0, i)] if names else None for i in at]
-            yield pdf
+            asked = list(zip(pdf["url_key"], pdf["page"], strict=True))
+            # The block before the first that begins with the key may end with it.
+            spans = [(max(0, bisect.bisect_left(firsts, x) - 1), bisect.bisect_right(firsts, x)) for x in asked]
+            rows = ((*x, names[i]) for x, (a, b) in zip(asked, spans, strict=True) for i in range(a, b))
+            while part := list(itertools.islice(rows, 10_000)):
+                yield pd.DataFrame(part, columns=["url_key", "page", "block"])
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = pdf["data"].dropna()

@@ -67,6 +67,19 @@ def test_many_blocks(pages, archives, monkeypatch):
     assert blocks.count() >= 5 and len(warc.CaptureIndex(blocks).lookup("http://c.example.org")) == 3
 
 
+def test_resolve_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 2)
+    rows = [(8, "http://c.example.org", f"repeated {i}") for i in range(7)] + [(None, None, f"nobody {i}") for i in range(6)] + [(i, "http://d.example.org", f"page {i}") for i in range(5)]
+    manifest = warc.write_archives(warc.with_types(spark.createDataFrame(rows, "page_id long, url string, html string")), scratch(spark, "warc-edges"))
+    blocks = warc.build_index(manifest)
+    assert blocks.count() >= 9
+    requests = manifest.selectExpr("url_key", f"coalesce(page_id, {warc.NOBODY}) AS page").distinct()
+    got = warc.read_records(warc.resolve(requests, blocks)).collect()
+    assert sorted((r.page_id or -1, r.html) for r in got) == sorted((i or -1, h) for i, _, h in rows)
+    absent = spark.createDataFrame([("a", 1), ("org,example,d)/", 99), ("zzz", 1)], "url_key string, page long")
+    assert warc.resolve(absent, blocks).count() == 0
+
+
 def test_archives_are_gzip(archives):
     for name in {r.archive for r in archives[0].collect()}:
         text = gzip.open(name.removeprefix("file://")).read()
