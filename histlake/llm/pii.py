@@ -25,14 +25,23 @@ from histlake.llm.common import lean, table
 #: For queries and tests only. Deployments pass their own secret.
 DEMO_KEY = b"histlake demonstration key"
 ROUNDS = 8
+#: Characters that are permuted as one number.
+PART = 128
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date", "secret")
 
-#: Every value has a digit or an @, so scanning starts there and looks this far around.
-HINT, REACH = re.compile(r"[0-9@]"), 160
+#: Every value has a digit or an @, is assigned to a keyword by = or :, or begins with AKIA (K is rarer than A), so
+#: scanning starts there and looks this far around. Assigned values may be of any length.
+HINT, REACH = re.compile(r"[0-9@=:K]"), 160
+WORDS = "(?i:password|passwd|token|secret|api_key|apikey)"
+LONGEST_WORD, WORD_BEFORE = 8, re.compile(WORDS + r"\Z")
+ASSIGNMENT = rf"""\b{WORDS}\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{{5,}}[A-Za-z0-9_+/-]"""
+ASSIGNMENT_AT = re.compile(ASSIGNMENT)
 PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)
-    |(?P<secret>\bAKIA[A-Z0-9]{16}\b|\b(?i:password|passwd|token|secret|api_key|apikey)\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{5,127}[A-Za-z0-9_+/-])
+    |(?P<secret>\bAKIA[A-Z0-9]{16}\b|"""
+    + ASSIGNMENT
+    + r""")
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w-]|[./][0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
@@ -69,7 +78,15 @@ def permuted(x: int, size: int, key: bytes) -> int:
 
 
 def remixed(chars: str, sets: list[str], key: bytes) -> str:
-    """chars as a number of mixed radix, permuted; sets has each place's alphabet."""
+    """chars as a number of mixed radix, permuted; sets has each place's alphabet. What is longer than a PART goes part
+    by part, each under a key that hangs on all parts before it."""
+    if len(chars) > PART:
+        out, seen, own = [], hashlib.blake2b(key=key[:64], digest_size=32), key
+        for i in range(0, len(chars), PART):
+            out.append(remixed(chars[i : i + PART], sets[i : i + PART], own))
+            seen.update(chars[i : i + PART].encode())
+            own = seen.digest()
+        return "".join(out)
     x, size = 0, 1
     for c, s in zip(chars, sets, strict=True):
         x, size = x * len(s) + s.index(c), size * len(s)
@@ -197,22 +214,39 @@ MAKERS: dict[str, Callable[[str, bytes], str | None]] = {
 }
 
 
+def hints(text: str) -> Iterator[tuple[int, int]]:
+    """Where a value may be, and how far at least its window goes, in order."""
+    for m in HINT.finditer(text):
+        at, sign = m.start(), m.group()
+        if sign in "=:":
+            word = at
+            while word and text[word - 1].isspace():
+                word -= 1
+            named = WORD_BEFORE.search(text, max(0, word - LONGEST_WORD), word)
+            if named and (value := ASSIGNMENT_AT.match(text, named.start())):
+                yield named.start(), max(named.start() + REACH, value.end())
+        elif sign != "K":
+            yield at, at + REACH
+        elif at and text.startswith("AKIA", at - 1):
+            yield at - 1, at - 1 + REACH
+
+
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around digits and @ signs that can hold values, merged and apart from each other."""
+    """Stretches of text around hints that can hold values, merged and apart from each other."""
     begin = end = -1
-    for m in HINT.finditer(text):
-        if m.start() > end:
+    for at, reach in hints(text):
+        if at > end:
             if end >= 0:
                 yield begin, end
-            begin = max(0, m.start() - REACH)
-        end = m.start() + REACH
+            begin = max(0, at - REACH)
+        end = max(end, reach)
     if end >= 0:
         yield begin, min(end, len(text))
 
 
 def pseudonymised(text: str, key: bytes, make: Callable | None = None) -> tuple[str, list[tuple[str, int, int]]]:
     """The new text, and (kind, start, end) of each value in the old one. The end of a window is never inside a value
-    with a hint, since values are shorter than REACH."""
+    with a hint: assigned values extend it, others are shorter than REACH."""
     make = make or (lambda kind, v: MAKERS[kind](v, hashlib.blake2b(kind.encode(), key=key[:64]).digest()[:32]))
     out, at, spans = [], 0, []
     for begin, end in windows(text):
