@@ -47,17 +47,25 @@ KINDS = {
 }
 KIND_OF = {name: kind for kind, names in KINDS.items() for name in names.split()}
 TAG_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "note"}
+#: Elements that hold the text, whatever their names say of the layout; and words before a name that tell
+#: what an element has, not what it is.
+HOLDERS = frozenset("html body main article".split())
+STATES = frozenset("has have with without no not is show hide hidden hides".split())
 SMOOTH = 0.5
 
 
 def kind(tag: str, attrs: str) -> str:
-    """What an element is by its tag, class, id or role; empty if nothing says so."""
+    """What an element is by its tag, class, id or role; empty if nothing says so. Of a compound the last word names the
+    element: site-footer is a footer, has-sidebar and sidebar-wrap are no sidebars."""
+    if tag in HOLDERS:
+        return ""
     if tag in TAG_KIND and tag != "header":
         return TAG_KIND[tag]
     for m in HINTS.finditer(attrs):
-        for name in re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower()):
-            if name in KIND_OF:
-                return KIND_OF[name]
+        for name in next(filter(None, m.groups()), "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if words and words[-1] in KIND_OF and not STATES & set(words):
+                return KIND_OF[words[-1]]
     return TAG_KIND.get(tag, "")
 
 

@@ -120,6 +120,13 @@ def test_best_stretch(scores):
     assert sum(scores[a:b]) == max([0, *sums])
 
 
+@pytest.mark.parametrize(("before", "after"), [('<body class="has-sidebar">', "</body>"), ('<main class="more">', "</main>"), ('<article id="comment">', "</article>"), ('<div class="has-sidebar">', "</div>"), ('<div class="content-sidebar-wrap">', "</div>"), ('<html class="no-cookies"><body>', "</body></html>")])
+def test_layout_names_keep_the_article(before, after):
+    article = "".join(f"<p>Paragraph {i} tells at length, in whole sentences, what happened on that day and why.</p>" for i in range(8))
+    plain = main_text(f"<body>{article}</body>")
+    assert "Paragraph 7" in plain and main_text(before + article + after) == plain
+
+
 def content(parts):
     return main_text("<main>" + "".join(m for inside, m in parts if inside) + "</main>")
 
