@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from histlake.operators.numbering import numbered
 
 #: The order in which sources are drained.
 SOURCE_RANK = {"zsh": 0, "bash": 1, "atuin": 2}
@@ -37,12 +39,8 @@ def unknown(rows: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def numbered_after(rows: DataFrame, last: int, order: Sequence[str] = ("source_rank", "ordinal", "text_hash")) -> DataFrame:
-    """Ids from last + 1 on, without gaps, in an order. Sorted ranges are counted and offset, so no task has all."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n") + last).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p").withColumn("id", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    """Ids from last + 1 on, without gaps, in an order."""
+    return numbered(rows, order, "id", last + 1)
 
 
 def counters(rows: DataFrame, kept: DataFrame) -> DataFrame:

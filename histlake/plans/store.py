@@ -1,15 +1,19 @@
-"""The store of commands: Parquet generations, vectors beside them, and a small meta file.
+"""The store of commands: Parquet generations, vectors and postings beside them, and numbered manifests.
 
-Each load writes its rows and vectors as files of a new batch and then replaces the manifest in one rename; readers
-take the batches that the manifest names, so half a load is never seen and a lost task's files are never read.
+Each load writes its rows, vectors and postings as files of a new batch and then publishes the next manifest; readers
+take the batches that the latest manifest names, so half a load is never seen and a lost task's files are never read.
+A manifest's number is in its name, and a name that exists is never replaced: of two loads at once the later finds its
+number taken, and drops what is known, numbers and publishes anew on top of the other's batch.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import secrets
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,12 +21,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from histlake.functions.hashing import salted_hash
 from histlake.functions.redact import redact
 from histlake.functions.vectors import embedder
+from histlake.functions.texts import tokens
 from histlake.operators import ingest
-from histlake.operators.ranking import terms
-from histlake.schema import COMMANDS, SCHEMA_VERSION, VECTORS
+from histlake.operators.numbering import dense
+from histlake.schema import COMMANDS, POSTINGS, SCHEMA_VERSION, VECTORS
+from histlake.scratch import clearing, delete
 from histlake.shipping import ship
 
 MODEL = ("hash-384", "1")
+#: Manifests that stay for readers that have just chosen one, and how often a load starts over behind another.
+KEPT_MANIFESTS, ATTEMPTS = 20, 10
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since this one read."""
 
 
 @dataclass
@@ -48,50 +60,75 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def versions(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/meta-*.json")
+        return sorted(int(x.getPath().getName()[5:-5]) for x in fs.globStatus(p) or [])
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/meta-{version:012d}.json"
+
     def meta(self) -> dict:
-        fs, p = self._fs(f"{self.path}/meta.json")
-        if not fs.exists(p):
-            return {"schema_version": SCHEMA_VERSION, "salt": None, "salt_version": 0, "batches": [], "last_id": 0, "cursors": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/meta.json").collect()))
+        """The latest manifest."""
+        if not (known := self.versions()):
+            return {"version": 0, "schema_version": SCHEMA_VERSION, "salt": None, "salt_version": 0, "batches": [], "last_id": 0, "cursors": {}}
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(self._manifest(known[-1])).collect()))
 
     def put_meta(self, meta: dict) -> None:
-        """Writes aside, then renames; the old file stands until the new one is whole."""
-        fs, part = self._fs(f"{self.path}/meta-{uuid.uuid4().hex}.part")
+        """Publishes what was made from a manifest as the next one. Raises Conflict if that is there already."""
+        fs, part = self._fs(f"{self.path}/part-{uuid.uuid4().hex}")
         fs.mkdirs(self._fs(self.path)[1])
+        version = meta["version"] + 1
         out = fs.create(part, True)
-        out.write(bytearray(json.dumps(meta).encode()))
+        out.write(bytearray(json.dumps(meta | {"version": version}).encode()))
         out.close()
-        to = self._fs(f"{self.path}/meta.json")[1]
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = rename
-        context.rename(fs.makeQualified(part), fs.makeQualified(to), options)
+        to = self._fs(self._manifest(version))[1]
+        try:
+            if fs.getUri().getScheme() == "file":
+                # A local rename replaces; a link does not.
+                os.link(part.toUri().getPath(), to.toUri().getPath())
+            else:
+                context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(fs.makeQualified(part), fs.makeQualified(to), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            if fs.exists(to):
+                raise Conflict(f"manifest {version} of {self.path} was published by another writer") from e
+            raise
+        finally:
+            fs.delete(part, False)
+        for old in self.versions()[:-KEPT_MANIFESTS]:
+            fs.delete(self._fs(self._manifest(old))[1], False)
+
+    def update(self, change: Callable[[dict], dict]) -> dict:
+        """Publishes change of the latest manifest, of a later one if others come between."""
+        for _ in range(ATTEMPTS):
+            meta = self.meta()
+            try:
+                self.put_meta(new := meta | change(meta))
+            except Conflict:
+                continue
+            return new
+        raise Conflict(f"{self.path} changes too often")
 
     def salt(self) -> bytes:
         """32 random bytes, made once."""
         meta = self.meta()
         if not meta["salt"]:
-            meta |= {"salt": secrets.token_hex(32), "salt_version": 1}
-            self.put_meta(meta)
+            made = {"salt": secrets.token_hex(32), "salt_version": 1}
+            meta = self.update(lambda m: {} if m["salt"] else made)
         return bytes.fromhex(meta["salt"])
 
     def rotate_salt(self, rebuild: bool = False) -> int:
-        """A new salt. Old hashes would no longer meet new ones, so rows must go with it."""
+        """A new salt. Old hashes would no longer meet new ones, so rows go with it, in one step."""
         if not rebuild:
             raise ValueError("a new salt needs a rebuild")
-        self.rebuild()
-        meta = self.meta()
-        meta |= {"salt": secrets.token_hex(32), "salt_version": meta["salt_version"] + 1}
-        self.put_meta(meta)
-        return meta["salt_version"]
+        return self.update(lambda m: {"batches": [], "cursors": {}, "salt": secrets.token_hex(32), "salt_version": m["salt_version"] + 1})["salt_version"]
 
     def rebuild(self) -> None:
         """Drops rows, vectors and cursors; salt and other meta stay."""
-        self.put_meta(self.meta() | {"batches": [], "cursors": {}})
+        self.update(lambda m: {"batches": [], "cursors": {}})
 
-    def _read(self, kind: str, schema) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{b}" for b in self.meta()["batches"]]
+    def _read(self, kind: str, schema, meta: dict | None = None) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{b}" for b in (meta or self.meta())["batches"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def commands(self) -> DataFrame:
@@ -101,28 +138,44 @@ class Store:
         return self._read("vectors", VECTORS)
 
     def postings(self) -> DataFrame:
-        """term, id and tf, made when asked for: no request reads it."""
-        return terms(self.commands(), "id", "text_scrubbed").groupBy("term", "id").agg(F.count("*").alias("tf"))
+        """term, id and tf of all commands; each load adds those of its own."""
+        return self._read("postings", POSTINGS)
 
     def load(self, entries: list[DataFrame]) -> LoadResult:
         """Redacts, hashes, drops what is known or repeated, numbers, embeds and publishes, then moves the cursors."""
-        began, meta = time.perf_counter(), self.meta()
-        salt = self.salt()
-        meta = self.meta()
-        batch = uuid.uuid4().hex
+        began, salt, staged = time.perf_counter(), self.salt(), f"{self.path}/staged/{uuid.uuid4().hex}"
         rows = ingest.hashed(ingest.concatenated(entries), redact, salted_hash(salt))
-        rows.write.parquet(f"{self.path}/staged/{batch}")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/staged/{batch}")
-        new = ingest.unknown(ingest.first_of_each(rows), self.commands())
-        new = ingest.numbered_after(new, meta["last_id"]).select([f.name for f in COMMANDS])
-        new.write.parquet(f"{self.path}/commands/{batch}")
+        rows.write.parquet(staged)
+        rows = self.spark.read.schema(rows.schema).parquet(staged)
+        try:
+            for _ in range(ATTEMPTS):
+                meta, batch = self.meta(), uuid.uuid4().hex
+                if meta["salt"] != salt.hex():
+                    raise Conflict(f"the salt of {self.path} was changed during a load")
+                try:
+                    return self._add(rows, meta, batch, began)
+                except Conflict:
+                    for kind in ("commands", "vectors", "postings"):
+                        delete(self.spark, f"{self.path}/{kind}/{batch}")
+            raise Conflict(f"{self.path} changes too often")
+        finally:
+            delete(self.spark, staged)
+
+    def _add(self, rows: DataFrame, meta: dict, batch: str, began: float) -> LoadResult:
+        """Writes what a manifest's batches don't have as a batch, and publishes it."""
+        with clearing(self.spark):
+            new = ingest.unknown(ingest.first_of_each(rows), self._read("commands", COMMANDS, meta))
+            new = ingest.numbered_after(new, meta["last_id"]).select([f.name for f in COMMANDS])
+            new.write.parquet(f"{self.path}/commands/{batch}")
         new = self.spark.read.schema(COMMANDS).parquet(f"{self.path}/commands/{batch}")
+        if not dense(new, "id", meta["last_id"] + 1):
+            raise RuntimeError("numbers of a load are not dense")
         new.select(F.col("id").alias("command_id"), self.embed(F.col("text_scrubbed")).alias("embedding")).write.parquet(f"{self.path}/vectors/{batch}")
+        words = new.select(F.explode(tokens(F.col("text_scrubbed"))).alias("term"), "id")
+        words.groupBy("term", "id").agg(F.count("*").alias("tf")).write.parquet(f"{self.path}/postings/{batch}")
         counts = {r["source"]: r for r in ingest.counters(rows, new).collect()}
         known = meta["cursors"] | {r["source"]: max(r["cursor"], meta["cursors"].get(r["source"], 0)) for r in ingest.cursors(rows).collect()}
-        last = new.agg(F.max("id")).first()[0] or meta["last_id"]
-        self.put_meta(meta | {"batches": [*meta["batches"], batch], "last_id": last, "cursors": known, "embedding_model_name": self.model[0], "embedding_model_revision": self.model[1]})
-        fs, staged = self._fs(f"{self.path}/staged/{batch}")
-        fs.delete(staged, True)
         done = {s: r["inserted"] for s, r in counts.items()}
+        last = meta["last_id"] + sum(done.values())
+        self.put_meta(meta | {"batches": [*meta["batches"], batch], "last_id": last, "cursors": known, "embedding_model_name": self.model[0], "embedding_model_revision": self.model[1]})
         return LoadResult(sum(done.values()), sum(r["skipped_dedup"] for r in counts.values()), done, time.perf_counter() - began)

@@ -42,6 +42,9 @@ COMMANDS = T.StructType(
 #: Vectors stand apart from rows, so that only searches read them.
 VECTORS = T.StructType([T.StructField("command_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType(), False))])
 
+#: The inverted index: how often each command has each term.
+POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("tf", T.LongType())])
+
 HIT = ("id", "text", "text_hash", "source", "ts", "cwd", "hostname", "exit_code", "duration_ms", "session_id")
 
 

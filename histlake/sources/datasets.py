@@ -6,7 +6,9 @@ import tomllib
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from histlake.operators.numbering import numbered
 
 
 @dataclass
@@ -17,15 +19,6 @@ class Dataset:
     gold: DataFrame
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Rows numbered from 0 in an order, without gaps. Ranges are counted first, so no task sees all rows."""
-    ranged = df.withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_p").orderBy(by)) - 1
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_p").select((F.col("_before") + F.col("_i")).alias(name), *df.columns)
-
-
 def line_table(spark: SparkSession, path: str) -> DataFrame:
     """line (its number) and text, stripped."""
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"))
@@ -38,9 +31,8 @@ def nl2bash(spark: SparkSession, folder: str) -> Dataset:
     if (a := nl.count()) != (b := cm.count()):
         raise ValueError(f"files misaligned: {a} requests and {b} commands")
     pairs = nl.withColumnRenamed("text", "nl").join(cm, "line").filter("nl <> '' and text <> ''").select("nl", "text").distinct()
-    order = lambda df, c: df.repartitionByRange(c).sortWithinPartitions(c)
-    queries = numbered(order(pairs.select("nl").distinct(), "nl"), "nl", "query_id")
-    corpus = numbered(order(cm.filter("text <> ''").select("text").distinct(), "text"), "text", "doc_id")
+    queries = numbered(pairs.select("nl").distinct(), ["nl"], "query_id").select("query_id", "nl")
+    corpus = numbered(cm.filter("text <> ''").select("text").distinct(), ["text"], "doc_id").select("doc_id", "text")
     return Dataset("nl2bash", corpus, queries, queries.join(pairs, "nl").select("query_id", "text"))
 
 
@@ -52,15 +44,15 @@ def checked_query(i: int, q: dict, corpus: set[str]) -> tuple[tuple, list[str]]:
             raise ValueError(f"query[{i}]: {what}")
 
     filled = lambda x: isinstance(x, str) and bool(x.strip())
-    need(isinstance(q, dict), "must be a table")
-    need(filled(q.get("nl")), "missing non-empty 'nl'")
-    need(("gold" in q) != ("golds" in q), "needs one of 'gold' and 'golds'")
+    need(isinstance(q, dict), "a request is a table")
+    need(filled(q.get("nl")), "its text 'nl' is absent or blank")
+    need(("gold" in q) != ("golds" in q), "give either 'gold' or 'golds'")
     golds = [q["gold"]] if "gold" in q else q["golds"]
-    need(isinstance(golds, list) and golds and all(isinstance(g, str) for g in golds), "golds must be strings, at least one")
-    need(set(golds) <= corpus, "gold not present in corpus")
-    need(isinstance(q.get("id"), int), "id must be an int")
-    need(q.get("tier") in ("L", "M", "H"), "tier must be one of L, M, H")
-    need(filled(q.get("short")), "short must be a non-empty string")
+    need(isinstance(golds, list) and golds and all(isinstance(g, str) for g in golds), "golds are a list of one string or more")
+    need(set(golds) <= corpus, "a gold is no text of the corpus")
+    need(isinstance(q.get("id"), int), "its id is no whole number")
+    need(q.get("tier") in ("L", "M", "H"), "its tier is none of L, M and H")
+    need(filled(q.get("short")), "its short name is absent or blank")
     return (q["id"], q["tier"], q["short"], q["nl"], bool(q.get("star", False))), golds
 
 
@@ -69,9 +61,9 @@ def declared(spark: SparkSession, path: str, name: str = "dogfood") -> Dataset:
     parsed = tomllib.loads(Path(path).read_text(encoding="utf-8"))
     corpus, asked = parsed.get("corpus"), parsed.get("query")
     if not isinstance(corpus, list) or not all(isinstance(c, str) for c in corpus):
-        raise ValueError("'corpus' must be a list of strings")
+        raise ValueError("the corpus is to be a list of texts")
     if not isinstance(asked, list) or not asked:
-        raise ValueError("'query' must be a non-empty array of tables")
+        raise ValueError("there are no requests")
     got = [checked_query(i, q, set(corpus)) for i, q in enumerate(asked)]
     return Dataset(
         name,

@@ -1,12 +1,14 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from histlake.functions.texts import tokens
 from histlake.functions.times import cutoff, window_seconds
 from histlake.operators import history
 from histlake.plans.requests import INPUTS, Requests, UnknownRequest, validated
-from histlake.plans.store import Store
+from histlake.plans.store import Conflict, Store
 from histlake.schema import ENTRY, conform
 from histlake.streaming.ingest import stream_into
 
@@ -146,6 +148,33 @@ def test_incremental_and_stream(spark, tmp_path):
     assert sorted(x for _, x in got) == ["a", "a", "b", "c", "d"] and [i for i, _ in got] == [1, 2, 3, 4, 5]
 
 
+def test_two_loads_at_once(spark, tmp_path):
+    """Both keep their rows; what both have comes once, and ids have no gaps."""
+    path = f"file://{tmp_path}/s"
+    Store(spark, path).load([entries(spark, [("old", 1, "zsh")])])
+    loads = [[(f"{who} {i}", 10 + i, "zsh") for i in range(5)] + [("both", 50, "zsh")] for who in "ab"]
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda rows: Store(spark, path).load([entries(spark, rows)]), loads))
+    rows = Store(spark, path).commands().orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 13)) and len({r.text_scrubbed for r in rows}) == 12
+    assert sum(d.inserted for d in done) == 11 and sum(d.skipped_dedup for d in done) == 1
+    assert Store(spark, path).meta()["cursors"] == {"zsh": 50} and not list((tmp_path / "s" / "staged").iterdir())
+
+
+def test_a_stale_manifest_is_refused(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    old = s.meta()
+    s.salt()
+    with pytest.raises(Conflict):
+        s.put_meta(old | {"batches": ["lost"]})
+    assert s.meta()["batches"] == [] and s.meta()["salt"]
+
+
+def test_postings(spark, store):
+    want = store.commands().select("id", F.explode(tokens("text_scrubbed")).alias("term")).groupBy("term", "id").count()
+    assert sorted(map(tuple, store.postings().collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_following_all_agrees(spark, store):
     c = store.commands().filter("session_id is not null")
     one = {(r.match_id, r.pos, r.id) for r in history.following(c, c).collect()}
