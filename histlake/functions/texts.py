@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-TOKEN = re.compile(r"[^\W_]+")
+TOKEN, ASCII_TOKEN = re.compile(r"[^\W_]+"), re.compile("[A-Za-z0-9]+")
 
 
 def ascii_fold(text: Column) -> Column:
@@ -44,9 +44,9 @@ def tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: tokens_of(t) if isinstance(t, str) else None)
 
 
-def ascii_tokens(text: Column) -> Column:
-    """Native tokens, for text known to be ASCII."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def ascii_tokens(text: str) -> list[str]:
+    """Lower-cased runs of ASCII letters and digits; other letters part them."""
+    return [t.lower() for t in ASCII_TOKEN.findall(text)]
 
 
 def points(text: str) -> np.ndarray:

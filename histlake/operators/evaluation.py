@@ -7,7 +7,7 @@ import os
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from histlake.operators.ranking import RANKERS, Ranker
 from histlake.sources.datasets import Dataset
@@ -20,17 +20,28 @@ class EvaluationTimeError(RuntimeError):
     pass
 
 
+def digest(text: str) -> Column:
+    """Texts are compared by digests, so that none is shuffled."""
+    return F.sha2(text, 256).alias("digest")
+
+
 def gold_ranks(ranking: DataFrame, corpus: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
-    """query_id and the best rank at which one of its golds stands; null if none does."""
-    hits = ranking.join(corpus, "doc_id").join(gold.distinct(), ["query_id", "text"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return queries.select("query_id").join(hits, "query_id", "left")
+    """query_id and the best rank at which one of its golds stands; null if none does. Golds are texts of the corpus,
+    and those with a doc_id are met by it."""
+    if "doc_id" in gold.columns:
+        hits = ranking.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"])
+    else:
+        texts = ranking.join(corpus.select("doc_id", digest("text")), "doc_id")
+        hits = texts.join(gold.select("query_id", digest("text")).distinct(), ["query_id", "digest"])
+    return queries.select("query_id").join(hits.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
 
 
 def metrics(ranks: DataFrame, corpus: DataFrame, gold: DataFrame, k: int = K_MAX) -> DataFrame:
     """One row: n_queries, n_corpus, recall_at_1, recall_at_5, mrr over all queries, and what chance would reach."""
     within = lambda n: F.avg(F.when(F.col("rank") <= n, 1.0).otherwise(0.0))
     one = ranks.agg(F.count("*").alias("n_queries"), within(1).alias("recall_at_1"), within(5).alias("recall_at_5"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
-    one = one.join(corpus.agg(F.count("*").alias("n_corpus"))).join(gold.distinct().agg(F.count("*").alias("n_gold")))
+    golds = gold.select("query_id", digest("text")).distinct().agg(F.count("*").alias("n_gold"))
+    one = one.join(corpus.agg(F.count("*").alias("n_corpus"))).join(golds)
     chance = F.least(F.lit(1.0), F.col("n_gold") / F.col("n_queries") * k / F.col("n_corpus"))
     return one.select("n_queries", "n_corpus", "recall_at_1", "recall_at_5", "mrr", chance.alias("random_baseline_recall_at_5"))
 

@@ -1,25 +1,31 @@
 """Five interchangeable rankers: (corpus(doc_id, text), queries(query_id, nl), k) -> (query_id, doc_id, score, rank).
 
-Lexical ones join on terms, so only pairs that share one are made; the two that compare whole strings take the stated
-query set in blocks against the corpus. Ranks are by score, then by doc_id; what does not match at all is left out.
+Queries are a stated set: a block of them at a time goes out with the code and meets all texts in one pass, in which
+each task keeps its k best of each query. So no terms and no pairs are shuffled, only k rows of each query and task.
+Ranks are by score, then by doc_id; what does not match at all is left out.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from histlake.functions.texts import partial_ratios, tokens
+from histlake.functions.texts import partial_ratios, tokens_of
 from histlake.functions.vectors import embedder
 from histlake.operators.nearest import nearest_each
 
 Ranker = Callable[[DataFrame, DataFrame, int], DataFrame]
+Tokenize = Callable[[str], list[str]]
+#: Takes a block of queries to a function that scores texts: a row for each query, NaN where nothing matches.
+Prepare = Callable[[list[str]], Callable[[list[str]], np.ndarray]]
 #: Fixed values of BM25, as the full-text index has them; scores of terms in over half of all texts are floored.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-BLOCK = 500
+#: Queries that go out together, and texts that are scored together.
+BLOCK, TEXTS = 500, 500
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -28,79 +34,190 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def terms(df: DataFrame, name: str, text: str, tokenize=tokens) -> DataFrame:
-    return df.select(name, F.explode(tokenize(F.col(text))).alias("term"))
+def spread(corpus: DataFrame) -> DataFrame:
+    """Fewer files than cores are dealt out, as one file's row group is one task otherwise."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(cores) if 0 < len(corpus.inputFiles()) < cores else corpus
 
 
-def token_overlap(corpus: DataFrame, queries: DataFrame, k: int, tokenize=tokens) -> DataFrame:
-    """How many distinct terms both have."""
-    q, d = terms(queries, "query_id", "nl", tokenize).distinct(), terms(corpus, "doc_id", "text", tokenize).distinct()
-    return ranked(d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), k)
+def blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """A stated query set, BLOCK at a time."""
+    block = []
+    for row in queries.select("query_id", "nl").toLocalIterator():
+        block.append((row[0], row[1] or ""))
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, tokenize=tokens) -> DataFrame:
-    """BM25 of the query's terms OR-ed; a term that the query repeats counts each time. Scores are rounded, so that ties
-    don't hang on the order of sums."""
-    q = terms(queries, "query_id", "nl", tokenize).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    docs = corpus.select("doc_id", tokenize(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("len"))
-    size = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    wanted = q.select("term").distinct()
-    tf = docs.select("doc_id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "term").join(F.broadcast(size)).withColumn("idf", F.when(idf <= 0, FLOOR).otherwise(idf))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return ranked(tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")), k)
-
-
-def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, score: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
-    """Compares a stated query set with all texts: a block of queries at a time goes out with the code, each task keeps
-    its k best of each. score gives a row for each query; scores of 0 are no match."""
-    out, block = None, []
+def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare) -> DataFrame:
+    """Each query's k best texts."""
 
     def one(block: list) -> DataFrame:
         ids, asked = np.array([i for i, _ in block], np.int64), [q for _, q in block]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf = pdf.dropna().sort_values("doc_id")
-                s = score(asked, pdf["text"].tolist()).reshape(len(ids), len(pdf))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "doc_id": pdf["doc_id"].to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, axis=1).ravel()})
-                yield found[found["score"] > 0].astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+            score = prepare(asked)
+            best, docs = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for pdf in (x.iloc[i : i + TEXTS].dropna() for x in batches for i in range(0, len(x), TEXTS)):
+                new = score(pdf["text"].tolist()).reshape(len(ids), len(pdf))
+                docs = np.c_[docs, np.broadcast_to(pdf["doc_id"].to_numpy(np.int64), new.shape)]
+                best = np.c_[best, new]
+                top = np.lexsort((docs, -best), axis=1)[:, :k]
+                best, docs = np.take_along_axis(best, top, 1), np.take_along_axis(docs, top, 1)
+            found = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "doc_id": docs.ravel(), "score": best.ravel()})
+            yield found.dropna()
 
         return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
 
-    for row in queries.select("query_id", "nl").toLocalIterator():
-        block.append((row[0], row[1] or ""))
-        if len(block) == BLOCK:
-            out, block = one(block) if out is None else out.union(one(block)), []
-    if block or out is None:
+    corpus, out = spread(corpus), None
+    for block in blocks(queries):
         out = one(block) if out is None else out.union(one(block))
-    return ranked(out, k)
+    return ranked(one([]) if out is None else out, k)
+
+
+def matches(scores: np.ndarray) -> np.ndarray:
+    """Scores of 0 are no match."""
+    return np.where(scores > 0, scores, np.nan)
+
+
+class Terms:
+    """Distinct terms of a block of queries, and how often each query has each."""
+
+    def __init__(self, asked: list[str], split: Tokenize):
+        self.split, counts = split, [Counter(split(q)) for q in asked]
+        self.place = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
+        self.counts = np.zeros((len(asked), len(self.place)))
+        for i, c in enumerate(counts):
+            for t, n in c.items():
+                self.counts[i, self.place[t]] = n
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How often each text has each term, a column for each text, and how many terms of any kind it has."""
+        tf, size = np.zeros((len(self.place), len(texts))), np.zeros(len(texts))
+        for j, text in enumerate(texts):
+            all_ = self.split(text)
+            size[j] = len(all_)
+            for t, n in Counter(filter(self.place.__contains__, all_)).items():
+                tf[self.place[t], j] = n
+        return tf, size
+
+
+def token_overlap(corpus: DataFrame, queries: DataFrame, k: int, tokenize: Tokenize = tokens_of) -> DataFrame:
+    """How many distinct terms both have."""
+
+    def prepare(asked: list[str]):
+        terms = Terms(asked, tokenize)
+        return lambda texts: matches((terms.counts > 0).astype(float) @ (terms.of(texts)[0] > 0))
+
+    return in_blocks(corpus, queries, k, prepare)
+
+
+def term_statistics(corpus: DataFrame, wanted: frozenset[str], tokenize: Tokenize) -> tuple[int, float, dict[str, int]]:
+    """Number of texts, their average length, and how many have each of the wanted terms. Each task counts for itself,
+    and the wanted terms are those of a stated query set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, n, size, known = Counter(), 0, 0, 0
+        for pdf in batches:
+            n += len(pdf)
+            for text in pdf["text"].dropna():
+                all_ = tokenize(text)
+                size, known = size + len(all_), known + 1
+                have.update(wanted.intersection(all_))
+        # The first three have names that no term has.
+        yield pd.DataFrame([(" n", n), (" size", size), (" known", known), *have.items()], columns=["term", "n"])
 
+    got = spread(corpus.select("text")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sums = Counter({r["term"]: r["n"] for r in got})
+    n, size, known = (sums.pop(x, 0) for x in (" n", " size", " known"))
+    return n, size / known if known else 0.0, dict(sums)
 
-def contained_words(queries: list[str], texts: list[str]) -> np.ndarray:
-    """How many of each query's words (repeated ones too) each text contains, in lower case. Each distinct word is
-    looked for once in a text."""
-    split = [q.lower().split() for q in queries]
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for q in split for w in q))}
-    counts = np.zeros((len(queries), len(place)), np.float32)
-    for i, q in enumerate(split):
-        for w in q:
-            counts[i, place[w]] += 1
-    found = np.array([[w in low for w in place] for low in map(str.lower, texts)], np.float32).reshape(len(texts), len(place))
-    return (counts @ found.T).astype(np.float64)
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, tokenize: Tokenize = tokens_of) -> DataFrame:
+    """BM25 of the query's terms OR-ed; a term that the query repeats counts each time. Scores are rounded, so that ties
+    don't hang on the order of sums."""
+    wanted = frozenset(t for block in blocks(queries) for _, q in block for t in tokenize(q))
+    n, mean, df = term_statistics(corpus, wanted, tokenize)
+    idf = {t: max(np.log((n - m + 0.5) / (m + 0.5)), 0.0) or FLOOR for t, m in df.items()}
+
+    def prepare(asked: list[str]):
+        terms = Terms(asked, tokenize)
+        weights = terms.counts * np.array([idf.get(t, 0.0) for t in terms.place])
+
+        def score(texts: list[str]) -> np.ndarray:
+            tf, size = terms.of(texts)
+            found = matches(weights @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1.0)))))
+            return np.round(found, 9)
+
+        return score
+
+    return in_blocks(corpus, queries, k, prepare)
+
+
+def automaton(words):
+    """Finds all of some distinct words in a text in one pass, as places in their list."""
+    from ahocorasick import Automaton
+
+    out = Automaton()
+    for i, w in enumerate(words):
+        out.add_word(w, i)
+    out.make_automaton()
+    return out
 
 
 def naive(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """How many of the query's words the text contains."""
-    return in_blocks(corpus, queries, k, contained_words)
+    """How many of the query's words (repeated ones too) the text contains, in lower case."""
+
+    def prepare(asked: list[str]):
+        terms = Terms(asked, lambda q: q.lower().split())
+        if not terms.place:
+            return lambda texts: np.full((len(asked), len(texts)), np.nan)
+        seek = automaton(terms.place)
+
+        def score(texts: list[str]) -> np.ndarray:
+            inside = np.zeros((len(terms.place), len(texts)))
+            for j, text in enumerate(texts):
+                inside[list({i for _, i in seek.iter(text.lower())}), j] = 1
+            return matches(terms.counts @ inside)
+
+        return score
+
+    return in_blocks(corpus, queries, k, prepare)
+
+
+def holding(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, text) of each text that contains a query's text literally, found in one pass for a block of
+    queries. An empty query is in every text."""
+
+    def one(block: list) -> DataFrame:
+        where: dict[str, list[int]] = {}
+        for i, q in block:
+            where.setdefault(q, []).append(i)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = [q for q in where if q]
+            seek = automaton(names) if names else None
+            for pdf in batches:
+                rows = []
+                for doc_id, text in pdf.dropna().itertuples(index=False):
+                    held = {names[i] for _, i in seek.iter(text)} if seek else set()
+                    rows += [(i, doc_id, text) for q in sorted(held | ({""} & where.keys())) for i in where[q]]
+                yield pd.DataFrame(rows, columns=["query_id", "doc_id", "text"])
+
+        return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, text string")
+
+    corpus, out = spread(corpus), None
+    for block in blocks(queries):
+        out = one(block) if out is None else out.union(one(block))
+    return one([]) if out is None else out
 
 
 def fuzzy(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best partial similarity, 0 to 100, with case."""
-    return in_blocks(corpus, queries, k, lambda qs, texts: np.array([partial_ratios(q, texts) for q in qs]))
+    return in_blocks(corpus, queries, k, lambda asked: lambda texts: matches(np.array([partial_ratios(q, texts) for q in asked])))
 
 
 def semantic(corpus: DataFrame, queries: DataFrame, k: int, embed=None, digits: int = 5) -> DataFrame:

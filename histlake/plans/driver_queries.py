@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.functions.hashing import hash_prefix, salted_hash, salted_sha256
 from histlake.functions.redact import entropy_column, redact, redact_fixed
-from histlake.functions.texts import ascii_tokens, tokens, under_path
+from histlake.functions.texts import ascii_tokens, tokens, tokens_of, under_path
 from histlake.functions.vectors import distance_score, dot
 from histlake.operators import evaluation, history, ingest, nearest, ranking
 from histlake.shipping import ship
@@ -369,7 +369,7 @@ def rank_semantic(spark, sf_dir):
 def judged(spark, sf_dir, ranker, tokenize=ascii_tokens) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """corpus, queries, gold and ranks. A request's golds are the documents that hold it."""
     corpus, queries = corpus_and_queries(spark, sf_dir)
-    gold = corpus.join(F.broadcast(queries), F.contains("text", "nl")).select("query_id", "text")
+    gold = ranking.holding(corpus, queries)
     return corpus, queries, gold, evaluation.gold_ranks(ranker(corpus, queries, 5, tokenize=tokenize), corpus, queries, gold)
 
 
@@ -384,7 +384,7 @@ def eval_per_query_ranks(spark, sf_dir, tokenize=ascii_tokens):
 
 @query()
 def eval_per_query_ranks_unicode(spark, sf_dir):
-    return eval_per_query_ranks(spark, sf_dir, tokens)
+    return eval_per_query_ranks(spark, sf_dir, tokens_of)
 
 
 @query(f"""{BM25}, t AS ({TOP}), {GT} {RANKS} SELECT count(*) AS n_queries, (SELECT count(*) FROM d) AS n_corpus, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1,
@@ -397,7 +397,7 @@ def eval_metrics(spark, sf_dir, tokenize=ascii_tokens):
 
 @query()
 def eval_metrics_unicode(spark, sf_dir):
-    return eval_metrics(spark, sf_dir, tokens)
+    return eval_metrics(spark, sf_dir, tokens_of)
 
 
 VERDICT = f"""{BM25}, t AS ({TOP}), {GT} {RANKS}, s2 AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT * FROM dt) JOIN (SELECT DISTINCT * FROM qt) USING (term) GROUP BY query_id, doc_id),
@@ -414,7 +414,7 @@ def ranker_verdict(spark, sf_dir, tokenize=ascii_tokens):
 
 @query()
 def ranker_verdict_unicode(spark, sf_dir):
-    return ranker_verdict(spark, sf_dir, tokens)
+    return ranker_verdict(spark, sf_dir, tokens_of)
 
 
 @query()
