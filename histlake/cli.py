@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 from histlake.operators.evaluation import append_history, evaluate
 from histlake.operators.ranking import rankers_of
 from histlake.plans.requests import INPUTS, Requests
+from histlake.plans.serving import serve
 from histlake.plans.store import Store
 from histlake.sources.atuin import read_atuin
 from histlake.sources.datasets import declared, nl2bash
@@ -33,6 +35,7 @@ def main(args: list[str] | None = None) -> int:
     ask.add_argument("store")
     ask.add_argument("request", choices=sorted(INPUTS))
     ask.add_argument("arguments", nargs="?", default="{}", help="JSON")
+    sub.add_parser("serve", help="JSON-RPC, a message a line, on standard input and output").add_argument("store")
     ev = sub.add_parser("eval")
     ev.add_argument("dataset", help="a TOML file, or a folder with all.nl and all.cm")
     ev.add_argument("--ranker", default="all")
@@ -40,6 +43,10 @@ def main(args: list[str] | None = None) -> int:
     ev.add_argument("--no-append", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("histlake").getOrCreate()
+    if a.what == "serve":
+        for line in serve(Requests(Store(spark, a.store)), sys.stdin):
+            print(line, flush=True)
+        return 0
     if a.what == "ask":
         payload, _, bad = Requests(Store(spark, a.store))(a.request, json.loads(a.arguments))
         print(json.dumps(payload))

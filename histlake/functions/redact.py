@@ -78,8 +78,12 @@ def passes() -> list[tuple[re.Pattern, Callable[[re.Match], str], str]]:
     return [(re.compile(p), rules[rule](kind), sign.lower()) for (kind, rule, p), sign in zip(PASSES, SIGNS, strict=True)]
 
 
+#: Letters beyond lower() that patterns without case take for ASCII ones: long s and dotless i.
+FOLDED = {0x17F: "s", 0x131: "i"}
+
+
 def redact_text(text: str) -> str:
-    low = text.lower()
+    low = text.lower().translate(FOLDED)
     for pattern, replace, sign in passes():
         if sign in low:
             text = pattern.sub(replace, text)

@@ -19,10 +19,10 @@ from histlake.operators import history, nearest
 from histlake.plans.store import Store
 from histlake.schema import HIT
 
-NO_INDEX = "Index not found at {path}. Load some history first."
-STALE_MODEL = "The index was built with embedding model {indexed!r}, but {configured!r} is configured. Rebuild it."
-NO_EXIT_CODES = "failed_recently requires the 'atuin' source: only it records exit codes."
-NO_SESSIONS = "commands_after requires the 'atuin' source: only it records sessions."
+NO_INDEX = "Nothing is loaded at {path}: not found."
+STALE_MODEL = "Vectors are of model {indexed!r}, requests of {configured!r}. Load the history anew."
+NO_EXIT_CODES = "How commands ended is known of atuin history alone, and none is loaded."
+NO_SESSIONS = "Sessions are known of atuin history alone, and none is loaded."
 NO_CWD = "No working directory is known. Pass 'cwd'."
 BARE_WILDCARD = "A pattern of nothing but '%' matches everything; give some text."
 

@@ -6,6 +6,7 @@ import sqlite3
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,6 +24,8 @@ class AtuinSchemaError(ValueError):
 
 
 def connect(path: str) -> sqlite3.Connection:
+    """Opens the file where it is, or an executor's own copy of it."""
+    path = path if Path(path).exists() else SparkFiles.get(Path(path).name)
     return sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
 
 
@@ -79,8 +82,11 @@ class AtuinDataSource(DataSource):
 
 
 def read_atuin(spark: SparkSession, path: str, since: int | None = None) -> DataFrame:
-    """Entries by time; the time in nanoseconds is their ordinal. Unknown times have no exemption here."""
+    """Entries by time; the time in nanoseconds is their ordinal. Unknown times have no exemption here. The driver's file
+    goes to executors that don't share its disk."""
     ship(spark)
+    if Path(path).exists() and not spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.addFile(path)
     spark.dataSource.register(AtuinDataSource)
     reader = spark.read.format("atuin").option("path", path)
     return (reader if since is None else reader.option("since", since)).load()

@@ -28,6 +28,9 @@ POSITIVE = [
     ("x --password FAKEpw", "FAKEpw", "PASSWORD"),
     ('x --PASSWD="FAKE pw"', "FAKE pw", "PASSWORD"),
     ("x --pass=FAKEpw", "FAKEpw", "PASSWORD"),
+    ("x --pa\u017fsword=FAKEpw", "FAKEpw", "PASSWORD"),
+    ("x --to\u212aen Q7xFAKEmP2kLz9vR4t", "Q7xFAKE", "CREDENTIAL"),
+    ("AW\u017f_secret_acce\u017fs_key=" + "A/" * 20, "A/A/", "AWS_SECRET"),
     ("mysql -u root -pFAKEpw db", "FAKEpw", "PASSWORD"),
     ("docker login -u me -p FAKEpw", "FAKEpw", "PASSWORD"),
     ("x --token Q7xFAKEmP2kLz9vR4t", "Q7xFAKE", "CREDENTIAL"),

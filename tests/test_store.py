@@ -8,6 +8,7 @@ from histlake.functions.texts import tokens
 from histlake.functions.times import cutoff, window_seconds
 from histlake.operators import history
 from histlake.plans.requests import INPUTS, Requests, UnknownRequest, validated
+from histlake.plans.serving import serve
 from histlake.plans.store import Conflict, Store
 from histlake.schema import ENTRY, conform
 from histlake.streaming.ingest import stream_into
@@ -101,6 +102,18 @@ def test_bad_input(ask, name, args):
     assert bad and n == 0 and payload["error"] and payload["results"] == []
 
 
+def test_serving(ask):
+    call = lambda i, name, **args: json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": args}})
+    lines = ['{"jsonrpc": "2.0", "id": 1, "method": "initialize"}', '{"jsonrpc": "2.0", "method": "notifications/initialized"}', "", '{"id": 2, "method": "tools/list"}', call(3, "recent", limit=1), call(4, "recent", limit=0), call(5, "zz"), '{"id": 6, "method": "zz"}', "{", '{"id": 7, "method": "tools/call"}']
+    got = [json.loads(x) for x in serve(ask, lines)]
+    assert [x["id"] for x in got] == [1, 2, 3, 4, 5, 6, None, 7]
+    assert [x.get("error", {}).get("code") for x in got] == [None, None, None, None, -32602, -32601, -32700, -32602]
+    assert {t["name"] for t in got[1]["result"]["tools"]} == set(INPUTS) and got[1]["result"]["tools"][0]["inputSchema"]["required"] == ["query"]
+    one, bad = got[2]["result"], got[3]["result"]
+    assert json.loads(one["content"][0]["text"]) == one["structuredContent"] and one["structuredContent"]["results"][0]["text"] == "rollback"
+    assert not one["isError"] and bad["isError"]
+
+
 def test_defaults():
     assert validated("failed_recently", {}) == {"window": "24h", "pattern": None, "limit": 20} and len(INPUTS) == 6
 
