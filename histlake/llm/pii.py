@@ -2,7 +2,8 @@
 
 Validated card numbers, account numbers, phone numbers, social-security numbers, network addresses, dates, e-mail
 addresses and secrets are replaced by a keyed permutation of their own format's values. Equal values (whatever their
-separators) get equal pseudonyms in every document, so records stay linked; no value is its own pseudonym.
+separators, and whatever stands around them) get equal pseudonyms in every document, so records stay linked; no value
+is its own pseudonym. Texts are scanned whole, and values may be of any length.
 
 Defined results: a null text stays null with no spans; an empty text stays empty; only the text column is rewritten,
 all other columns (also ones of other names and types) pass through. Rows are independent, so ties, repeated rows and
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,29 +30,29 @@ ROUNDS = 8
 #: Characters that are permuted as one number.
 PART = 128
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date", "secret")
-
-#: Every value has a digit or an @, is assigned to a keyword by = or :, or begins with AKIA (K is rarer than A), so
-#: scanning starts there and looks this far around. Assigned values may be of any length.
-HINT, REACH = re.compile(r"[0-9@=:K]"), 160
-WORDS = "(?i:password|passwd|token|secret|api_key|apikey)"
-LONGEST_WORD, WORD_BEFORE = 8, re.compile(WORDS + r"\Z")
-ASSIGNMENT = rf"""\b{WORDS}\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{{5,}}[A-Za-z0-9_+/-]"""
-ASSIGNMENT_AT = re.compile(ASSIGNMENT)
-PATTERN = re.compile(
-    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)
-    |(?P<secret>\bAKIA[A-Z0-9]{16}\b|"""
-    + ASSIGNMENT
-    + r""")
-    |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
-    |(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w-]|[./][0-9]))
-    |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
-    |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<card>(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?!\w))
-    |(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]?){1,3}[0-9]{2,4}(?!\w))""",
-    re.VERBOSE,
-)
-ASSIGNED = re.compile(r"[=:]\s*[\"']?")
+
+#: Every value has a digit, an @, or a sign that assigns it to a keyword, or begins with AKIA: a text without any of
+#: these has none.
+HINT = re.compile(r"[0-9@=:]|AKIA")
+WORDS = "(?i:password|passwd|token|secret|api[_-]?key|access[_-]?key)"
+HEX = "[0-9A-Fa-f]{1,4}"
+#: What a value of each kind looks like, in the order in which kinds are tried at a place. None begins inside a word.
+SHAPES = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "secret": rf"""\bAKIA[A-Z0-9]{{16}}\b|\b{WORDS}["']?\s*[=:]\s*["']?[A-Za-z0-9_+/.~!@#$%^*=:?-]{{5,}}[A-Za-z0-9_+/~@#$%^*=-]""",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b",
+    "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}:)|(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![\w-]|[./][0-9]))",
+    "ip": rf"(?<![\w.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\w|\.[0-9])|(?<![\w:.])(?:(?:{HEX}:){{7}}{HEX}|{HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+[1-9][0-9]{7,14}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]?){1,3}[0-9]{2,4})(?!\w)",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in SHAPES.items()))
+KINDS = tuple(SHAPES)
+EACH = {k: re.compile(p) for k, p in SHAPES.items()}
+#: Country calling codes of one and two digits; all others have three.
+CALLING = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+ASSIGNED, RUN = re.compile(r"[=:]\s*[\"']?"), re.compile(r"\w+|.", re.S)
 
 
 def feistel(x: int, size: int, key: bytes, back: bool = False) -> int:
@@ -133,6 +135,8 @@ def email(v: str, key: bytes) -> str | None:
 
 
 def ip(v: str, key: bytes) -> str | None:
+    if ":" in v:
+        return ip6(v, key)
     parts = v.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
@@ -140,6 +144,18 @@ def ip(v: str, key: bytes) -> str | None:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
+def ip6(v: str, key: bytes) -> str | None:
+    """The first group says what sort of address it is, and stays. What could be a time or a scope of names is none."""
+    try:
+        x = int(ipaddress.IPv6Address(v))
+    except ValueError:
+        return None
+    if x >> 112 < 0x1000:
+        return None
+    rest = 1 << 112
+    return str(ipaddress.IPv6Address(x // rest * rest + permuted(x % rest, rest, key + b"%d" % (x // rest))))
+
+
 def card(v: str, key: bytes) -> str | None:
     d = re.sub(r"\D", "", v)
     if not luhn(d) or len(set(d)) == 1:
@@ -168,16 +184,17 @@ def ssn(v: str, key: bytes) -> str | None:
 
 
 def phone(v: str, key: bytes) -> str | None:
-    lead = re.match(r"\+[0-9]{1,3}(?=\D)", v)
-    lead = lead.group() if lead else ""
-    d = re.sub(r"\D", "", v[len(lead) :])
-    if not 7 <= len(d) <= 13 or len(d) + len(lead) < 10:
+    """With a + the calling code stays, and the number is the same with and without separators."""
+    d = re.sub(r"\D", "", v)
+    code = m.group() if v[0] == "+" and (m := CALLING.match(d)) else ""
+    d = d[len(code) :]
+    if not 7 <= len(d) <= 13 or len(d) + len(code) + bool(code) < 10:
         return None
-    if len(d) == 10 and lead in ("", "+1") and d[0] > "1" and d[3] > "1":
+    if len(d) == 10 and code in ("", "1") and d[0] > "1" and d[3] > "1":
         sets = ["23456789", DIGITS, DIGITS, "23456789", *[DIGITS] * 6]
     else:
         sets = ["0" if d[0] == "0" else "123456789", *[DIGITS] * (len(d) - 1)]
-    return lead + refill(v[len(lead) :], remixed(d, sets, key))
+    return refill(v, code + remixed(d, sets, key))
 
 
 def date(v: str, key: bytes) -> str | None:
@@ -214,55 +231,22 @@ MAKERS: dict[str, Callable[[str, bytes], str | None]] = {
 }
 
 
-def hints(text: str) -> Iterator[tuple[int, int]]:
-    """Where a value may be, and how far at least its window goes, in order."""
-    for m in HINT.finditer(text):
-        at, sign = m.start(), m.group()
-        if sign in "=:":
-            word = at
-            while word and text[word - 1].isspace():
-                word -= 1
-            named = WORD_BEFORE.search(text, max(0, word - LONGEST_WORD), word)
-            if named and (value := ASSIGNMENT_AT.match(text, named.start())):
-                yield named.start(), max(named.start() + REACH, value.end())
-        elif sign != "K":
-            yield at, at + REACH
-        elif at and text.startswith("AKIA", at - 1):
-            yield at - 1, at - 1 + REACH
-
-
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around hints that can hold values, merged and apart from each other."""
-    begin = end = -1
-    for at, reach in hints(text):
-        if at > end:
-            if end >= 0:
-                yield begin, end
-            begin = max(0, at - REACH)
-        end = max(end, reach)
-    if end >= 0:
-        yield begin, min(end, len(text))
-
-
 def pseudonymised(text: str, key: bytes, make: Callable | None = None) -> tuple[str, list[tuple[str, int, int]]]:
-    """The new text, and (kind, start, end) of each value in the old one. The end of a window is never inside a value
-    with a hint: assigned values extend it, others are shorter than REACH."""
+    """The new text, and (kind, start, end) of each value in the old one."""
     make = make or (lambda kind, v: MAKERS[kind](v, hashlib.blake2b(kind.encode(), key=key[:64]).digest()[:32]))
     out, at, spans = [], 0, []
-    for begin, end in windows(text):
-        pos = max(begin, at)
-        while m := PATTERN.search(text, pos, min(len(text), end + REACH)):
-            if m.start() >= end:
-                break
-            new = make(m.lastgroup, m.group())
-            if new is None or new == m.group():
-                # Not valid as this kind: the rest of it may still hold a value.
-                run = re.compile(r"\w+|.").match(text, m.start())
-                pos = max(m.start() + 1, min(run.end(), m.end()))
-                continue
-            out += [text[at : m.start()], new]
-            at = pos = m.end()
-            spans.append((m.lastgroup, m.start(), m.end()))
+    pos = 0 if HINT.search(text) else len(text)
+    while found := PATTERN.search(text, pos):
+        start, kinds = found.start(), KINDS[KINDS.index(found.lastgroup) :]
+        valid = ((k, m, new) for k in kinds if (m := EACH[k].match(text, start)) and (new := make(k, m.group())) not in (None, m.group()))
+        kind, m, new = next(valid, (None, found, ""))
+        if kind is None:
+            # What follows in the same word can't begin a value, what follows that can.
+            pos = max(start + 1, min(RUN.match(text, start).end(), found.end()))
+            continue
+        out += [text[at:start], new]
+        at = pos = m.end()
+        spans.append((kind, start, m.end()))
     return "".join([*out, text[at:]]), spans
 
 

@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 import pytest
@@ -89,6 +91,49 @@ def test_far_apart_and_long():
     assert [k for k, _, _ in spans] == ["email", "card"] * 20 and len(out) == len(text)
 
 
+def slowly(text):
+    """Spans by every kind at every place, without any short cut."""
+    at, spans = 0, []
+    while at < len(text):
+        for kind, shape in pii.SHAPES.items():
+            m = re.compile(shape).match(text, at)
+            if m and pii.MAKERS[kind](m.group(), hashlib.blake2b(kind.encode(), key=KEY).digest()[:32]) not in (None, m.group()):
+                spans.append((kind, at, m.end()))
+                at = m.end() - 1
+                break
+        at += 1
+    return spans
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scan_equals_every_place_tried(seed):
+    r = random.Random(seed)
+    bits = [v for _, v, _ in VALUES] + ["4111 1111 1111 1112", "1.2.3.999", "2001:db8::8a2e:370:7334", "+14155552671", "2024-01-02T10:00", "password=", "token", ":", "=", "@", "AKIA", "word", "7", "+1", "-", "12/31/1999", "é", "\n"]
+    text = "".join(r.choice(bits) + r.choice((" ", " ", "", ".", ", ")) for _ in range(120))
+    out, spans = pseudonymised(text, KEY)
+    assert spans == slowly(text) and len(spans) > 5
+
+
+def test_documents_equal_every_place_tried(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null")
+    texts = [x.text for x in docs.collect() if re.search("[0-9@=]", x.text) and len(x.text) < 3000]
+    assert len(texts) > 5 and [pseudonymised(t, KEY)[1] for t in texts] == [slowly(t) for t in texts]
+
+
+@pytest.mark.parametrize(("a", "b"), [("+14155552671", "+1 415 555 2671"), ("+442079460958", "+44 20 7946 0958"), ("2001:db8::8a2e:370:7334", "2001:0db8:0:0:0:8a2e:370:7334"), ("1984-03-01", "1984-03-01T10:00")])
+def test_notations_stay_linked(a, b):
+    one, two = (re.sub(r"[ -]|T10:00", "", pseudonymised(f"in {x} or", KEY)[0]) for x in (a, b))
+    assert one == two != f"in {a} or"
+
+
+def test_whole_values_go():
+    for value in ("x" * 100 + "@mail.example.com", '"token": "hunter2!extra"', "password=correcthorsebattery", "secret=" + "a1" * 100):
+        out, ((_, a, b),) = pseudonymised(f"see {value} there", KEY)
+        text = f"see {value} there"
+        assert text[b:].strip('" ') == "there" and out[a:b] != text[a:b]
+    assert pseudonymised("std::vector 12::30 ::1 at 10:30:00", KEY)[1] == []
+
+
 def test_column(spark, docs, none):
     rows = spark.createDataFrame([(1, "me@x.example.com", 2**60, "k"), (2, None, None, "k"), (3, "", 5, "k"), (3, "", 5, "k")], "doc_id long, text string, n long, kind string")
     got = pseudonymise(rows, KEY).orderBy("doc_id").collect()
