@@ -1,14 +1,15 @@
 """Main text of HTML by a maximum-scoring subsequence (operator 3).
 
-A page is one sequence of tokens: words and tags. Tags score what labelled pages say of tags at and across the edges
-of content (always below zero); words score above zero in content's surroundings and below it in menus, adverts,
-footers, comments and the like. Both weights are log-ratios learned from labelled_pages. One linear scan finds the
-contiguous stretch of the highest sum, which is the content region; what stands inside it in surroundings that are
-never content (forms, scripts, adverts, comments) is left out of the text.
+A page is one sequence of words and tags. Tags score what labelled pages say of tags at and across the edges of
+content (always below zero); words score by the box they stand in: what its tag, class, id or role says it is, whether
+it holds most of the page's words, and whether they are linked. All weights are log-ratios learned from
+labelled_pages. One linear scan finds the contiguous stretch of the highest sum, which is the content region; words
+that score below zero there (an advert or a form inside the article) are left out of the text.
 
 Defined results: null and empty html have an empty text; broken markup, unclosed tags and pages without words give
-what their tokens score; of equal sums the first and shortest stretch wins; rows are independent, so repeated rows
-and ties of ids each keep a row. Other columns than page_id, url and html are ignored.
+what their tokens score; a < that no > follows is text; a script or style ends at its own end tag alone, else with the
+page; of equal sums the first and shortest stretch wins; rows are independent, so repeated rows and ties of ids each
+keep a row. Pages of any length take time in proportion to it. Other columns than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.llm.common import table
-from histlake.llm.labelled_pages import PAGES
+from histlake.llm.labelled_pages import pages as labelled
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag, quoted values whole. Possessive, so what does not end is given up once.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 HINTS = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements by kind, as HTML defines them.
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option".split())
@@ -47,18 +50,16 @@ KINDS = {
 }
 KIND_OF = {name: kind for kind, names in KINDS.items() for name in names.split()}
 TAG_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "note"}
-#: Elements that hold the text, whatever their names say of the layout; and words before a name that tell
-#: what an element has, not what it is.
-HOLDERS = frozenset("html body main article".split())
+#: Words before a name that tell what an element has, not what it is.
 STATES = frozenset("has have with without no not is show hide hidden hides".split())
+#: Elements that begin content; and words from which a box may be content without one.
+MAIN, MANY = frozenset("h1 article main".split()), 100
 SMOOTH = 0.5
 
 
 def kind(tag: str, attrs: str) -> str:
-    """What an element is by its tag, class, id or role; empty if nothing says so. Of a compound the last word names the
-    element: site-footer is a footer, has-sidebar and sidebar-wrap are no sidebars."""
-    if tag in HOLDERS:
-        return ""
+    """What a box is by its tag, class, id or role; empty if nothing says so. Of a compound the last word names the
+    box: site-footer is a footer, has-sidebar and sidebar-wrap are no sidebars."""
     if tag in TAG_KIND and tag != "header":
         return TAG_KIND[tag]
     for m in HINTS.finditer(attrs):
@@ -69,77 +70,116 @@ def kind(tag: str, attrs: str) -> str:
     return TAG_KIND.get(tag, "")
 
 
+def end_tag(source: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the end tag of a raw element begins and ends, from at on; the end of the page if there is none."""
+    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+    return m.span() if m else (len(source), len(source))
+
+
+def pieces(source: str) -> Iterator[tuple[int, str, str, str]]:
+    """(place, text, tag, attributes) in order: stretches of text, or tags with a / before the name of end tags. What no
+    reader sees (comments, scripts, styles) is none. Each character is looked at a bounded number of times."""
+    at, text, quotes = 0, 0, True
+    while (at := source.find("<", at)) >= 0:
+        # A declaration or comment ends at its sign, a tag at a > outside quotes.
+        if source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            inner = source[at + 9 : end if end >= 0 else len(source)]
+            yield text, source[text:at], "", ""
+            yield at, inner.replace("&", "&amp;"), "", ""
+            at = text = end + 3 if end >= 0 else len(source)
+            continue
+        close = source.startswith("</", at)
+        m = NAME.match(source, at + 1 + close)
+        if m is None and not source.startswith(("<!", "<?"), at):
+            at += 1
+            continue
+        if m is None:
+            comment = source.startswith("<!--", at)
+            end = source.find("-->" if comment else ">", at)
+            if end < 0 and not comment:
+                break  # no tag can end any more
+            yield text, source[text:at], "", ""
+            at = text = len(source) if end < 0 else end + (3 if comment else 1)
+            continue
+        rest = REST.match(source, m.end()) if quotes else None
+        if rest is None:
+            # A quote stays open to the end of the page: from here on quotes mean nothing.
+            quotes = False
+        end = rest.end() if rest else source.find(">", m.end()) + 1
+        if not end:
+            break
+        yield text, source[text:at], "", ""
+        tag, attrs = m.group().lower(), source[m.end() : end - 1]
+        start, at = at, end
+        if not close and tag in RAW and not attrs.endswith("/"):
+            at = end_tag(source, tag, end)[1]
+            if tag in BLOCKS:
+                yield start, "", "/" + tag, ""
+        else:
+            yield start, "", "/" * close + tag, attrs
+        text = at
+    yield text, source[text:], "", ""
+
+
 class Page:
-    """Tokens of a page: (feature, text, block), where the feature is what weights are learned for. Text that belongs
-    to no reader (scripts, styles, comments) is no token."""
+    """Tokens of a page: (feature, text, words, block, place), where the feature is what weights are learned for; a
+    stretch of text is one token of so many words."""
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, int]] = []
         self.block, self.open = 0, Counter()
-        stack: list[tuple[str, str]] = []  # (tag, kind as it holds inside)
-        at, raw = 0, ""
-        for m in TOKEN.finditer(source):
-            tag = (m["tag"] or "").lower()
-            if raw and not (m["close"] and tag == raw):
-                continue
-            if not raw:
-                self.words(source[at : m.start()], stack)
-            at = m.end()
-            if m["cdata"] is not None:
-                self.words(m["cdata"], stack)
+        self.boxes: list[list] = [[-1, "", 0, 0]]  # outer box, kind, words, and elements that begin content
+        stack: list[tuple[str, int]] = []  # (tag, box)
+        found: list[tuple[str, str, int, int, int, bool]] = []
+        for place, text, tag, attrs in pieces(source):
             if not tag:
+                if text:
+                    text = html.unescape(text) if "&" in text else text
+                    n, box = len(text.split()), stack[-1][1] if stack else 0
+                    self.boxes[box][2] += n
+                    found.append(("", text, n, self.block, place, box, self.open["a"] > 0))
                 continue
-            if raw:
-                raw = ""
-                continue
-            if tag in BLOCKS:
-                self.block += 1
-            if m["close"]:
-                if self.open[tag]:
-                    while self.pop(stack) != tag:
+            self.block += tag.lstrip("/") in BLOCKS
+            if tag[0] == "/":
+                if self.open[tag[1:]]:
+                    while self.pop(stack) != tag[1:]:
                         pass
-            elif tag in RAW and not m["attrs"].endswith("/"):
-                raw = tag  # without its end, the rest of the page is its
-                continue
             elif tag not in VOID:
                 # An open paragraph ends here, and with it what it left open.
                 while tag in BLOCKS and self.open["p"] and stack[-1][0] not in BLOCKS - {"p"}:
                     self.pop(stack)
                 while stack and tag in CLOSES.get(stack[-1][0], ()):
                     self.pop(stack)
-                own = kind(tag, m["attrs"])
-                outer = stack[-1][1] if stack else ""
+                outer = stack[-1][1] if stack else 0
                 # A header inside an article holds its title.
-                own = "" if tag == "header" and self.open["article"] + self.open["main"] else own
-                stack.append((tag, outer or own))
+                inside = tag == "header" and self.open["article"] + self.open["main"]
+                if own := "" if inside else kind(tag, attrs):
+                    self.boxes.append([outer, own, 0, 0])
+                    outer = len(self.boxes) - 1
+                self.boxes[outer][3] += tag in MAIN
+                stack.append((tag, outer))
                 self.open[tag] += 1
-            self.tokens.append((f"<{'/' if m['close'] else ''}{tag}", "", self.block))
-        if not raw:
-            self.words(source[at:], stack)
+            found.append(("<" + tag, "", 1, self.block, place, 0, False))
+        names = self.names()
+        self.tokens = [(f or names[box] + " link" * linked, text, n, block, place) for f, text, n, block, place, box, linked in found]
 
-    def pop(self, stack: list[tuple[str, str]]) -> str:
+    def pop(self, stack: list[tuple[str, int]]) -> str:
         tag = stack.pop()[0]
         self.open[tag] -= 1
         return tag
 
-    def words(self, source: str, stack: list[tuple[str, str]]) -> None:
-        if not source:
-            return
-        text = html.unescape(source) if "&" in source else source
-        where = stack[-1][1] if stack else ""
-        linked = self.open["a"]
-        feature = f"word {where or 'plain'}{' link' if linked else ''}"
-        parts = text.split()
-        if not parts:
-            self.tokens.append(("gap", " ", self.block))
-            return
-        if text[0].isspace():
-            self.tokens.append(("gap", " ", self.block))
-        self.tokens += [(feature, w, self.block) for w in parts[:1]]
-        for w in parts[1:]:
-            self.tokens += [("gap", " ", self.block), (feature, w, self.block)]
-        if text[-1].isspace():
-            self.tokens.append(("gap", " ", self.block))
+    def names(self) -> list[str]:
+        """What words in each box are called. A box with over half of all words, and with what begins content or with
+        many words, is wide; inside of another that is not, a box is what the outer one is."""
+        total = sum(n for _, _, n, _ in self.boxes)
+        for outer, _, n, begins in reversed(self.boxes[1:]):
+            self.boxes[outer][2] += n
+            self.boxes[outer][3] += begins
+        out = ["word plain"]
+        for outer, own, n, begins in self.boxes[1:]:
+            over, wide = out[outer], 2 * n > total and (begins or n >= MANY)
+            out.append(over if over != "word plain" and "wide" not in over else f"word {'wide ' * wide}{own}")
+        return out
 
 
 @lru_cache(1)
@@ -147,32 +187,27 @@ def weights() -> dict[str, float]:
     """Log-ratios of how often labelled pages have a feature inside and outside of content. Words keep theirs; a tag's
     is moved below zero, and one that labelled pages have at the edges of content or outside counts in full."""
     counts = {True: Counter(), False: Counter()}
-    for parts in PAGES:
-        tokens = Page("".join(markup for _, markup in parts)).tokens
-        # Mark content by position: tokens of the first part, then of the second, and so on.
-        ends, text = [], ""
+    for parts in labelled():
+        ends, at = [], 0
         for inside, markup in parts:
-            text += markup
-            ends.append((inside, len(Page(text).tokens)))
-        at = 0
-        for inside, end in ends:
-            for feature, _, _ in tokens[at:end]:
-                counts[inside][feature] += 1
-            at = end
-    total = {k: sum(v for f, v in c.items() if f != "gap") for k, c in counts.items()}
+            at += len(markup)
+            ends.append((at, inside))
+        for feature, _, n, _, place in Page("".join(markup for _, markup in parts)).tokens:
+            counts[next(inside for end, inside in ends if place < end or end == at)][feature] += n
+    total = {k: sum(c.values()) for k, c in counts.items()}
     out = {}
     for f in set(counts[True]) | set(counts[False]):
         ratio = math.log((counts[True][f] + SMOOTH) / (total[True] + 1)) - math.log((counts[False][f] + SMOOTH) / (total[False] + 1))
-        out[f] = 0.0 if f == "gap" else ratio if f.startswith("word") else min(-0.1, ratio - 1)
+        out[f] = ratio if f.startswith("word") else min(-0.1, ratio - 1)
     return out
 
 
 def weight(feature: str, known: dict[str, float]) -> float:
-    """Unseen words score as those of their surroundings without a link, else like boilerplate; unseen tags little."""
+    """Unseen words score like plain ones in a wide box, below zero in others; unseen tags little."""
     if feature in known:
         return known[feature]
     if feature.startswith("word"):
-        return known.get(feature.removesuffix(" link"), -1.0) - feature.endswith(" link")
+        return known["word plain"] if "wide" in feature else -1.0
     return -0.3
 
 
@@ -193,20 +228,16 @@ def main_text(source: str | None) -> str:
         return ""
     known, tokens = weights(), Page(source).tokens
     score = {f: weight(f, known) for f in {t[0] for t in tokens}}
-    a, b = best_stretch([score[f] for f, _, _ in tokens])
+    # Whether a stretch's words are left out is a matter of their box; a link in an article is part of it.
+    kept = {f for f in score if weight(f.removesuffix(" link"), known) > 0}
+    a, b = best_stretch([score[f] * n for f, _, n, _, _ in tokens])
     blocks: dict[int, list[str]] = {}
-    for feature, text, block in tokens[a:b]:
-        if feature == "gap" or feature.startswith("word") and not never(feature):
-            blocks.setdefault(block, []).append(text)
+    for feature, text, _, block, _ in tokens[a:b]:
+        if text:
+            blocks.setdefault(block, []).append(text if feature in kept or text.isspace() else " ")
     return " ".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 
 
-def never(feature: str) -> bool:
-    """Words in surroundings that are not the article's, wherever they stand."""
-    where = feature.split()[1]
-    return where != "plain"
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row. One pass, no shuffle."""
 

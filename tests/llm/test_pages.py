@@ -11,7 +11,7 @@ from hypothesis import given, strategies as st
 from histlake.llm import warc
 from histlake.llm.common import scratch
 from histlake.llm.html_extract import best_stretch, extract, main_text, weights
-from histlake.llm.labelled_pages import PAGES, filler
+from histlake.llm.labelled_pages import filler, pages as labelled
 
 LONG, BREAK = "<p>" + "x é " * 60 + "</p>", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 10
 ROWS = [(5, "http://www.A.example.org/p?q=1", LONG), (2, "http://b.example.org/", LONG), (9, "http://a.example.org/p?q=1", LONG), (1, "not a url\twith tab", "short"), (3, None, "short"), (4, "http://[bad", None), (6, "http://a.example.org/p", ""), (7, "https://a.example.org:8443/p/", BREAK), (None, "http://c.example.org", LONG), (8, "http://c.example.org", "z" * 300_000), (8, "http://c.example.org", "z" * 300_000)]
@@ -127,13 +127,49 @@ def test_layout_names_keep_the_article(before, after):
     assert "Paragraph 7" in plain and main_text(before + article + after) == plain
 
 
-def content(parts):
-    return main_text("<main>" + "".join(m for inside, m in parts if inside) + "</main>")
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<script>for (i=0; i<n; i++) { x('</p>') }</script>", ""), ("", "<script>if (a<b) c()</script>"), ("<style>p<a{}</style >", ""), ('<body class="has-sidebar">', ""), ('<div class="content with-sidebar">', "</div>"), ('<article class="popular-science">', "</article>"),
+        ('<main class="search-page">', "</main>"), ('<form id="aspnetForm" action="/">', "</form>"), ('<div class="modal">', "</div>"), ('<body id="nav">', "</body>"), ('<main class="comments">', "</main>"), ('<section class="related">', "</section>"),
+    ],
+)
+def test_whole_page_boxes(before, after):
+    article = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} tells at length, in whole <a href='/x'>linked sentences</a>, what happened on that day and why.</p>" for i in range(8))
+    plain = main_text(f"<body>{article}</body>")
+    assert "Paragraph 7 tells at length, in whole linked sentences, what" in plain and main_text(before + article + after) == plain
+
+
+BOILERPLATE = [("<nav><ul><li><a href='/'>home</a></li><li><a href='/b'>boil</a></li></ul></nav>", ""), ('<div class="cookie-notice"><p>boil boil boil</p></div>', ""), ("<header>boil</header>", "<footer>boil boil</footer>"), ("", '<div id="comments"><p>boil boil boil boil</p></div>'), ("", "<form><label>boil</label></form>"), ('<aside class="sidebar"><p>boil boil</p></aside>', '<div class="ad">boil boil</div>'), ('<div class="ad">boil</div>', '<p class="copyright">boil</p>')]
+
+
+@pytest.mark.parametrize(("before", "after"), BOILERPLATE)
+@pytest.mark.parametrize("hold", ["article", "main", "div", "section"])
+def test_boilerplate_goes(before, after, hold):
+    for n in (3, 30, 300):
+        body = f"<h1>head line</h1><p>{filler(n)}</p>{after * (n > 30)}<p>{filler(n)}</p>"
+        page = f"<html><head><title>t</title></head><body>{before}<{hold}>{body}</{hold}>{after}</body></html>"
+        assert main_text(page) == f"head line {filler(n)} {filler(n)}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<", '<a "', "<a '\">", "<!-- ", "<script>", "<b>", "<![CDATA[", "<p class=x ", "&", "<a class   ", "</", "<i \"> <i '>"])
+def test_a_megabyte_of_anything(unit):
+    import time
+
+    # Against a tenth of it, so that a slow machine doesn't count: what grows with the square takes a hundred times as long.
+    def took(n):
+        began = time.process_time()
+        main_text(unit * (n // len(unit)) + "<p>x")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 40 * took(100_000) + 1
 
 
-@pytest.mark.parametrize("i", range(len(PAGES)))
+@pytest.mark.parametrize("i", range(0, 60, 3))
 def test_labelled_page(i):
-    assert main_text("".join(m for _, m in PAGES[i])) == content(PAGES[i]) != ""
+    parts = labelled()[i]
+    assert main_text("".join(m for _, m in parts)) == main_text("<main>" + "".join(m for inside, m in parts if inside) + "</main>") != ""
 
 
 def test_unlabelled_page():
@@ -148,7 +184,7 @@ def test_small_pages(html, text):
 
 def test_weights():
     w = weights()
-    assert w["word plain"] > 0 and all(v < 0 for f, v in w.items() if f.startswith(("<", "word ")) and f != "word plain")
+    assert w["word plain"] > 0 and all(v < 0 for f, v in w.items() if f[0] == "<" or (f.startswith("word ") and f != "word plain" and "wide" not in f))
 
 
 def test_extract(spark, pages):
