@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from histlake.scratch import scratch, written
 from histlake.shipping import ship
 
+__all__ = ["ascii_lower", "held_out", "lean", "let", "scratch", "small", "table", "trim", "words", "written"]
+
 #: The characters between words: space and \x09 to \x0D.
 GAP = "[\\x20\\x09-\\x0D]+"
 #: Whole texts go to Python workers in small batches, unless the session says otherwise.
@@ -26,28 +24,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver's table. Where the session has Spark's own bound for batches to Python, it is lowered for good: plans
+    read it when they run, which is after this returns. Operators that are given a DataFrame change nothing."""
     ship(spark)
     if spark.conf.get(ARROW_BYTES) == DEFAULT_BYTES:
         spark.conf.set(ARROW_BYTES, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def local_scratch() -> str:
-    """For tests and single machines: a folder that goes when the process ends."""
-    path = tempfile.mkdtemp(prefix="histlake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = local_scratch()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def trim() -> None:
     """Gives freed memory back to the system, where its allocators can."""
     gc.collect()
@@ -66,13 +50,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a written table, which outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts a written table if its counted rows are within a bound; beyond it the planner shuffles."""
     return F.broadcast(df) if df.count() <= most else df

@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from histlake.llm import ngram_join
 from histlake.llm.components import components
-from histlake.llm.ngram_join import Tree, classes_of, needed, prefix_length, shingle_hashes
+from histlake.llm.ngram_join import Tree, classes_of, needed, prefix_length, shingle_hashes, word_hashes
 from tests.llm.conftest import prose
 
 
@@ -66,7 +68,68 @@ def test_clusters(spark, seed):
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [30, 40])
+def test_clusters_in_small_parts(spark, monkeypatch, seed):
+    """Hot shingles, hubs and cells go in parts, and sketches are added up over several levels."""
+    for name, value in {"PART_ROWS": 20, "CELL_ROWS": 3, "PARTNERS": 4, "FAN_IN": 2, "MANY": 6}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    assert ngram_join.parts_by_class(40.0, 3).tolist() == [1, 4, 8, 16]
+    rows = cluster(seed)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+
+
+def test_rows_without_id_link(spark):
+    """One without an id stands between two that have one; others have sets or groups of their own."""
+    base = prose(50, 200).split()
+    change = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    first, middle, last = change(), change(20, 40, 60), change(20, 40, 60, 80, 100, 120)
+    lone = prose(51, 60)
+    rows = [(7, first), (None, middle), (5, last), (None, lone), (None, lone + " more"), (None, prose(52, 30)), (9, None), (None, None)]
+    want = brute(rows)
+    assert (7, 196, 5) in want and run(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert run(spark.createDataFrame(rows[:1] + rows[2:], "doc_id long, text string")) == brute(rows[:1] + rows[2:])
+
+
+def test_cells(spark, monkeypatch):
+    """Entries of different groups under one shingle meet in one cell, once."""
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 4)
+    r = random.Random(5)
+    entries = [(t, a, r.choice([1, 1, 1, 2, 3, a]) if t % 3 else r.randrange(4)) for t in range(6) for a in r.sample(range(1000), 5 + 9 * t)]
+    df = spark.createDataFrame(entries, "token long, a long, label long")
+    stats = df.groupBy("token", "label").count().groupBy("token").agg(F.sum("count").alias("total"), F.max(F.struct(F.col("count").alias("n"), "label")).alias("top"))
+    met, sizes = {}, {}
+    for x in ngram_join.celled(df, stats).collect():
+        sizes.setdefault((x.token, x.kind, x.lo, x.hi), []).append(x)
+    for (token, kind, lo, hi), xs in sizes.items():
+        free = kind == ngram_join.WHOLE or (kind == ngram_join.BLOCKS and lo == hi)
+        for i, x in enumerate(xs):
+            for y in xs[:i]:
+                if x.label != y.label and (free or x.side != y.side):
+                    met[token, min(x.a, y.a), max(x.a, y.a)] = met.get((token, min(x.a, y.a), max(x.a, y.a)), 0) + 1
+    want = {(t, min(a, b), max(a, b)) for i, (t, a, g) in enumerate(entries) for s, b, h in entries[:i] if s == t and g != h}
+    assert met.keys() == want and set(met.values()) == {1}
+
+
+def test_a_thousand_long_near_copies():
+    r = np.random.default_rng(0)
+    base = np.sort(r.choice(1 << 40, 20_000, replace=False).astype(np.uint64))
+    sets = [(i, np.delete(base, r.choice(20_000, i % 50, replace=False))) for i in range(1000)]
+    tree = Tree(sorted(sets, key=lambda x: x[1].astype(">u8").tobytes()))
+    assert sorted(tree.walk(base)) == list(range(1000)) and list(tree.walk(base[:14_000])) == []
+
+
+def test_long_near_copies_link(spark):
+    base = prose(60, 4000).split()
+    rows = [(i, " ".join(w if j != 7 * i else f"new{i}" for j, w in enumerate(base))) for i in range(300)]
+    assert {c for _, _, c in run(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))} == {0}
+
+
 def test_words():
+    morse = "a"
+    for _ in range(10):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    both = f"{morse} {morse.translate(str.maketrans('ab', 'ba'))}".encode()
+    assert len(set(word_hashes(both).tolist())) == 2
     assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("É b")) == 1
     assert np.array_equal(shingle_hashes("A  b\x0bc d E"), shingle_hashes("a b c\td e"))
     assert not np.array_equal(shingle_hashes("É b c d e"), shingle_hashes("é b c d e"))
