@@ -2,15 +2,17 @@
 
 Pages are written as WARC/1.1 records, each a gzip member of its own, into archives of bounded size in a shared folder.
 Of records with equal payloads of at least 100 bytes the one with the smallest page_id is a response and the others
-are revisits that name it. The index sorts captures by reversed-host URL key and page_id into blocks, which are
+are revisits that name it and its URL. The index sorts captures by reversed-host URL key and page_id into blocks, which are
 compressed and written as a table (first level), and keeps a sparse directory of the blocks' first keys (second
-level), whose size is bounded whatever the input. A lookup binary-searches the directory, reads one block, searches
-it, and reads the record's bytes alone.
+level), whose size is bounded whatever the input. A lookup binary-searches the directory, reads the blocks that can
+hold the key, searches them, and reads the record's bytes alone; a revisit's payload is that of its response, found by
+the same index.
 
 Archives are named by chance and listed in a manifest table, so what a lost or repeated task wrote is never read.
 Defined results: null html is an empty payload; a null url has the key "" ; a null page_id is written without an id and
 takes no part in revisits but as one of them (refers_to stays the smallest known id; without any, all are responses);
-repeated page_ids each keep their record; empty tables have an empty manifest and index. Other columns are ignored.
+repeated page_ids each keep their record, with a record id of its own, and of a payload's rows all that have its
+smallest page_id are responses; empty tables have an empty manifest and index. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,10 @@ LEVEL = 1
 #: Records that are in memory together when archives are read.
 READ_ROWS = 200
 CRLF = b"\r\n"
-PAGES = "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long"
+#: Compressed bytes that a reading task gets, at least, and reading tasks, at most.
+READ_BYTES, MOST_READERS = 4 << 20, 50_000
+#: Fixed value: the profile of revisits of equal payloads.
+PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "url_key string, page_id long, archive string, start long, size long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -58,15 +63,16 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (parts.path.rstrip("/") or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """A WARC record, uncompressed. A revisit has no payload of its own; its length and digest stay."""
+def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to, refers_url: str | None = None, place: str = "") -> bytes:
+    """A WARC record, uncompressed; its place (archive and offset) makes its id. A revisit has no payload of its own;
+    its length and digest stay."""
     body = payload if kind == "response" else b""
-    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")).encode() + b">", b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + re.sub(r"[\r\n]", " ", url or "").encode("utf-8", "surrogatepass"), b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % len(payload), b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(body)]
+    line = lambda u: re.sub(r"[\r\n]", " ", u or "").encode("utf-8", "surrogatepass")
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, place or f"page:{page_id}")).encode() + b">", b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + line(url), b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % len(payload), b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(body)]
     if page_id is not None:
         head.append(b"X-Page-Id: %d" % page_id)
     if refers_to is not None:
-        head.append(b"X-Refers-To-Page: %d" % refers_to)
-        head.append(b"WARC-Refers-To: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers_to}")).encode() + b">")
+        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To-Target-URI: " + line(refers_url), b"X-Refers-To-Page: %d" % refers_to]
     return CRLF.join(head) + CRLF + CRLF + body + CRLF + CRLF
 
 
@@ -97,14 +103,14 @@ def with_types(pages: DataFrame) -> DataFrame:
     digest, so a payload that a third of all pages have is one row there."""
     df = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     own = F.length(F.coalesce("html", F.lit("")).cast("binary"))
-    long = pages.select("page_id", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("payload_digest"), own.alias("n")).filter(F.col("n") >= LEAST_REVISIT)
-    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies")
+    long = pages.select("page_id", "url", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("payload_digest"), own.alias("n")).filter(F.col("n") >= LEAST_REVISIT)
+    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.min_by(F.coalesce("url", F.lit("")), F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first_url"), F.count("*").alias("copies")).filter("copies > 1 and first is not null").drop("copies")
     # Digests that come twice are few, so payloads mostly stay where they are.
     first = small(written(first, "warc-copies"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return df.join(first, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"),
     )
 
 
@@ -124,7 +130,7 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                data = packed(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]))
+                data = packed(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"], r["refers_url"], f"{name}@{at}"))
                 out.write(data)
                 rows.append({"url_key": url_key(r["url"]), "page_id": r["page_id"], "archive": f"{folder}/{name}", "start": at, "size": len(data), "payload_bytes": len(r["payload"]), "payload_digest": r["payload_digest"], "record_type": r["record_type"], "refers_to": r["refers_to"]})
                 at += len(data)
@@ -198,19 +204,30 @@ class CaptureIndex:
         self.firsts, self.names = [(r[0], r[1]) for r in rows], [r[2] for r in rows]
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """Headers and payloads of all captures of a URL; revisits come without payload."""
+        """Headers and payloads of all captures of a URL; of revisits the payload of their response."""
+        out = []
+        for head, payload in self.records(url):
+            if head["warc-type"] == "revisit":
+                first = (b for h, b in self.records(head["warc-refers-to-target-uri"], int(head["x-refers-to-page"])) if h["warc-type"] == "response")
+                payload = next(first)
+                if hashlib.sha256(payload).hexdigest() != head["warc-payload-digest"].removeprefix("sha256:"):
+                    raise ValueError(f"the response of {head['warc-record-id']} is another payload")
+            out.append((head, payload))
+        return out
+
+    def records(self, url: str, page: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers and payloads, as they are, of all captures of a URL, or of those of a page."""
         key = re.sub(r"[\t\n]", " ", url_key(url))
         i = max(0, bisect.bisect_left(self.firsts, (key, NOBODY)) - 1)
-        out = []
         while i < len(self.names) and self.firsts[i][0] <= key:
             data = self.blocks.filter(F.col("block") == self.names[i]).select("data").first()[0]
             found = captures(bytes(data))
             a = bisect.bisect_left(found, (key,))
             while a < len(found) and found[a][0] == key:
-                out.append(read_range(*found[a][2:]))
+                if page is None or found[a][1] == page:
+                    yield read_range(*found[a][2:])
                 a += 1
             i += 1
-        return out
 
 
 def resolve(requests: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -250,7 +267,11 @@ def resolve(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def read_records(places: DataFrame) -> DataFrame:
     """Range-reads records (archive, start, size) and checks each payload against its digest; neighbours in one
-    archive share an open file. Gives page_id, url, html, and what the headers say."""
+    stretch of an archive share an open file, and as many tasks read as the records' bytes ask for. Gives page_id, url,
+    html, and what the headers say."""
+    places = written(places.select("archive", "start", "size"), "warc-places")
+    total = places.agg(F.sum("size")).first()[0] or 0
+    stretch = max(READ_BYTES, -(-total // MOST_READERS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, f = None, None
@@ -273,7 +294,8 @@ def read_records(places: DataFrame) -> DataFrame:
             f.close()
 
     known = lambda c: F.nullif(F.col(c), F.lit(NOBODY)).alias(c)
-    out = places.select("archive", "start", "size").repartition("archive").sortWithinPartitions("archive", "start")
+    dealt = places.withColumn("stretch", F.floor(F.col("start") / stretch)).repartition(max(1, 2 * total // stretch), "archive", "stretch")
+    out = dealt.sortWithinPartitions("archive", "start").select("archive", "start", "size")
     out = out.mapInPandas(run, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return out.select(known("page_id"), "url", "html", "payload_bytes", "payload_digest", "record_type", known("refers_to"))
 

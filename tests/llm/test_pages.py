@@ -56,7 +56,9 @@ def test_round_trip_by_index(pages, archives, monkeypatch):
 def test_lookup(archives):
     index = warc.CaptureIndex(archives[1])
     found = index.lookup("http://www.a.example.org/p?q=1")
-    assert [(h["x-page-id"], h["warc-type"]) for h, _ in found] == [("5", "revisit"), ("9", "revisit")]
+    assert [(h["x-page-id"], h["warc-type"], b.decode()) for h, b in found] == [("5", "revisit", LONG), ("9", "revisit", LONG)]
+    assert all(h["warc-profile"].endswith("identical-payload-digest") and h["warc-refers-to-target-uri"] == "http://b.example.org/" for h, _ in found)
+    assert [b for _, b in index.records("http://www.a.example.org/p?q=1")] == [b"", b""]
     assert index.lookup("http://b.example.org")[0][1].decode() == LONG and len(index.lookup("http://c.example.org/")) == 3
     assert index.lookup("http://nowhere.example.org") == [] and len(index.lookup("http://[bad")) == 1 and len(index.lookup("")) == 1
 
@@ -80,6 +82,19 @@ def test_resolve_over_block_edges(spark, monkeypatch):
     assert warc.resolve(absent, blocks).count() == 0
 
 
+def test_many_rows_of_one_key(spark, monkeypatch):
+    """As many records come back as went in, from several reading tasks."""
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(warc, "READ_BYTES", 50_000)
+    rows = spark.range(0, 10_000, 1, 4).selectExpr("if(id % 3 = 0, null, 7) AS page_id", "'http://one.example.org/' AS url", "concat('text ', id) AS html")
+    manifest = warc.write_archives(warc.with_types(rows), scratch(spark, "warc-one-key"))
+    requests = manifest.selectExpr("url_key", f"coalesce(page_id, {warc.NOBODY}) AS page").distinct()
+    read = warc.read_records(warc.resolve(requests, warc.build_index(manifest)))
+    assert read.select("html").distinct().count() == read.count() == 10_000 and read.rdd.getNumPartitions() > 4
+    heads = [h["warc-record-id"] for h, _ in (warc.read_range(r.archive, r.start, r.size) for r in manifest.limit(50).collect())]
+    assert len(set(heads)) == 50
+
+
 def test_archives_are_gzip(archives):
     for name in {r.archive for r in archives[0].collect()}:
         text = gzip.open(name.removeprefix("file://")).read()
