@@ -20,7 +20,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 #: Whole texts go to Python workers in small batches, unless the session says otherwise.
 ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Most rows of a few numbers each that a side may have and still be broadcast (about 16 MB).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,11 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a written table if its counted rows are within a bound; beyond it the planner shuffles."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """Broadcasts a written table if its counted rows are within a bound, and, where rows can be of any size, if the sum
+    of their sizes is within BROADCAST_BYTES; beyond it the planner shuffles."""
+    n, total = df.agg(F.count("*"), F.lit(0) if size is None else F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= BROADCAST_BYTES else df
 
 
 def let(value: Column, body) -> Column:

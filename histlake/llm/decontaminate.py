@@ -21,6 +21,10 @@ from histlake.llm.common import let, small, table, written
 WIDTH, THRESHOLD = 5, 0.75
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def shingles(text: Column) -> Column:
     """Distinct shingles, as strings of words with a space after each but the last."""
 
@@ -30,21 +34,32 @@ def shingles(text: Column) -> Column:
             F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: F.array_join(F.slice(ws, i + 1, WIDTH), " "))
         )
 
-    return F.array_distinct(let(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), cut))
+    return F.array_distinct(let(words_of(text), cut))
+
+
+def shingle_hashes(text: Column) -> Column:
+    """A hash of each shingle, made of the hashes of its words, so that no shingle is written out."""
+
+    def cut(h: Column) -> Column:
+        n = F.size(h)
+        long = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
+        return F.when(n >= WIDTH, long).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), cut)
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """key (the id in a struct, so that null is one too), item (its shingles), n, and the sketch of its size partition."""
-    sized = items.select(F.struct("item_id").alias("key"), shingles(F.col("text")).alias("item")).withColumn("n", F.size("item")).filter("n > 0")
+    own = F.array_sort(F.array_distinct(shingle_hashes(F.col("text"))))
+    sized = items.select(F.struct("item_id").alias("key"), shingles(F.col("text")).alias("item"), own.alias("hashes")).withColumn("n", F.size("item")).filter("n > 0")
     upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")
     keep = F.floor((1 - threshold) * upper + 1e-9).cast("int") + 1
-    hashes = F.array_sort(F.array_distinct(F.transform("item", lambda s: F.xxhash64(s))))
-    return sized.withColumn("size_partition", upper).withColumn("sketch", F.slice(hashes, F.lit(1), keep))
+    return sized.withColumn("size_partition", upper).withColumn("sketch", F.slice("hashes", F.lit(1), keep)).drop("hashes")
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, key) with a hash of the item's sketch in the document."""
-    probes = docs.select("doc_id", F.explode(F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("h"))
+    probes = docs.select("doc_id", F.explode(shingle_hashes(F.col("text"))).alias("h"))
     keys = written(items.select("key", F.explode("sketch").alias("h")), "item-sketches")
     return probes.join(small(keys), "h").select("doc_id", "key").distinct()
 
@@ -55,8 +70,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     items = written(sketches(benchmark, threshold), "items")
     found = written(candidates(docs, items), "leak-candidates")
+    # Items are broadcast by their bytes: one may have any number of shingles.
     named = items.select("key", "item", "n")
-    held = docs.join(small(found), "doc_id").withColumn("has", shingles(F.col("text"))).drop("text").join(small(named, 100_000), "key")
+    size = F.length(F.array_join("item", " ")) + 16 * F.col("n")
+    held = docs.join(small(found), "doc_id").withColumn("has", shingles(F.col("text"))).drop("text").join(small(named, size=size), "key")
     out = held.select("doc_id", "key.item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("item", "has")).cast("long").alias("n_shared"))
     out = out.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
     return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)).filter(F.col("n_shared") >= threshold * F.col("n_shingles"))
