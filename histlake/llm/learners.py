@@ -130,11 +130,3 @@ class Isotonic:
 def folds(n: int, k: int, seed: int = 0) -> np.ndarray:
     """A balanced fold number for each of n rows."""
     return np.random.default_rng(seed).permutation(n) % k
-
-
-def out_of_fold(make, x: np.ndarray, y: np.ndarray, k: int = 4) -> np.ndarray:
-    """Raw scores of each row by a model that has not seen it."""
-    at, out = folds(len(y), k), np.zeros(len(y))
-    for i in range(k):
-        out[at == i] = make().fit(x[at != i], y[at != i]).raw(x[at == i])
-    return out

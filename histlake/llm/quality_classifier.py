@@ -2,8 +2,9 @@
 
 A text-content classifier (boosted trees over measures of the whole text) and a page-metadata classifier (logistic
 regression over language, source and length) learn from labelled rows outside the held-out fold. Over rounds, each
-labels the unlabelled documents it is surest of for the other. Both are calibrated on labelled rows that neither
-learned from, and a logistic combination of the calibrated views scores every document.
+scores all unlabelled documents, where they are, and labels those it is surest of for the other. Both are calibrated
+on labelled rows that neither learned from, and a logistic combination of the calibrated views, learned from yet other
+rows, scores every document.
 
 Defined results: a null text measures like an empty one; null metadata are values of their own; rows are scored one by
 one, so repeated rows and ties each keep a row; null labels teach nothing; without labels of both kinds every score is
@@ -16,19 +17,22 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from histlake.llm.common import held_out, lean, table, written
+from histlake.llm.common import held_out, lean, small, table, written
 from histlake.llm.learners import BoostedTrees, Isotonic, Logistic, folds
 
-#: Bounds of the fitting sample: labelled rows, and rows of the unlabelled pool, in an order of hashes.
-MOST_LABELLED, MOST_POOL = 6000, 4000
+#: Bound of the fitting sample: labelled rows, in an order of hashes. The unlabelled pool has none.
+MOST_LABELLED = 6000
+#: Co-training: rounds, documents that a view labels in each, and how sure it must be.
 ROUNDS, PER_ROUND, SURE = 4, 150, 0.9
+#: Tasks whose surest documents one task compares.
+FAN_IN = 64
 #: Dropping a good document costs more than keeping a bad one.
 CUT = 0.35
 #: Common function words of four languages.
@@ -75,35 +79,60 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+#: Rows that a view labels: ids, both views, and labels.
+Picked = tuple[list[int], tuple[np.ndarray, np.ndarray], np.ndarray]
+#: Given both models, how many good and bad rows to pick, and ids that are taken: the surest of each model.
+Pick = Callable[[list, tuple[int, int], frozenset], list[Picked]]
+
+
+def surest(p: np.ndarray, ids: np.ndarray, wanted: tuple[int, int]) -> list[tuple[np.ndarray, float]]:
+    """Places of the surest good and bad rows; ids decide ties."""
+    out = []
+    for sign, n, label in ((-1, wanted[0], 1.0), (1, wanted[1], 0.0)):
+        order = np.lexsort((ids, sign * p))[:n]
+        out.append((order[np.abs(label - p[order]) <= 1 - SURE + 1e-12], label))
+    return out
+
+
+def from_arrays(text: np.ndarray, meta: np.ndarray) -> Pick:
+    """Picks from a pool in memory; ids are places."""
+
+    def pick(models: list, wanted: tuple[int, int], taken: frozenset) -> list[Picked]:
+        left, out = np.array([i for i in range(len(text)) if i not in taken], int), []
+        for model, view in zip(models, (text, meta), strict=True):
+            found = surest(model.predict(view[left]), left, wanted) if len(left) else []
+            at = np.concatenate([np.empty(0, int), *(left[i] for i, _ in found)])
+            labels = np.concatenate([np.empty(0), *(np.full(len(i), y) for i, y in found)])
+            out.append((at.tolist(), (text[at], meta[at]), labels))
+        return out
+
+    return pick
+
+
 class CoTrained:
-    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pick: Pick):
         self.share, self.models = float(y.mean()) if len(y) else 1.0, None
-        apart = folds(len(y), 3) == 0 if len(y) else np.zeros(0, bool)
-        if min((y[apart] == k).sum() for k in (0, 1)) < 2 or min((y[~apart] == k).sum() for k in (0, 1)) < 2:
+        part = folds(len(y), 6) if len(y) else np.zeros(0, int)
+        apart, last, own = part == 0, part == 1, part > 1
+        if min((y[x] == k).sum() for x in (apart, last, own) for k in (0, 1)) < 2:
             return
         make = (BoostedTrees, Logistic)
-        xs, ys = [v[~apart] for v in labelled], [y[~apart], y[~apart]]
-        left = np.ones(len(pool[0]), bool)
+        xs, ys = [v[own] for v in labelled], [y[own], y[own]]
+        taken: frozenset = frozenset()
+        good = round(PER_ROUND * self.share)
         for _ in range(ROUNDS):
             models = [m().fit(x, t) for m, x, t in zip(make, xs, ys, strict=True)]
-            for teacher in (0, 1):
-                at = np.flatnonzero(left)
-                if not len(at):
-                    break
-                p = models[teacher].predict(pool[teacher][at])
-                good = at[np.argsort(-p, kind="stable")][: round(PER_ROUND * self.share)]
-                bad = at[np.argsort(p, kind="stable")][: PER_ROUND - round(PER_ROUND * self.share)]
-                sure = dict(zip(at, p, strict=True))
-                picked = [(i, 1.0) for i in good if sure[i] >= SURE] + [(i, 0.0) for i in bad if sure[i] <= 1 - SURE]
-                if picked:
-                    i, t = (np.array(v) for v in zip(*picked, strict=True))
+            for teacher, (ids, views_, t) in enumerate(pick(models, (good, PER_ROUND - good), taken)):
+                # What both are sure of, the first to teach labels.
+                new = np.array([i not in taken for i in ids], bool)
+                if new.any():
                     other = 1 - teacher
-                    xs[other], ys[other] = np.r_[xs[other], pool[other][i]], np.r_[ys[other], t]
-                    left[i] = False
+                    xs[other], ys[other] = np.r_[xs[other], views_[other][new]], np.r_[ys[other], t[new]]
+                    taken |= frozenset(ids)
         self.models = [m().fit(x, t) for m, x, t in zip(make, xs, ys, strict=True)]
-        raw = [m.raw(v[apart]) for m, v in zip(self.models, labelled, strict=True)]
-        self.calibrations = [Isotonic().fit(r, y[apart]) for r in raw]
-        self.combined = Logistic().fit(np.stack([logit(c.predict(r)) for c, r in zip(self.calibrations, raw, strict=True)], axis=1), y[apart])
+        self.calibrations = [Isotonic().fit(m.raw(v[apart]), y[apart]) for m, v in zip(self.models, labelled, strict=True)]
+        own = [c.predict(m.raw(v[last])) for c, m, v in zip(self.calibrations, self.models, labelled, strict=True)]
+        self.combined = Logistic().fit(np.stack([logit(p) for p in own], axis=1), y[last])
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores of the text view, the metadata view, and both."""
@@ -113,27 +142,87 @@ class CoTrained:
         return (*own, self.combined.predict(np.stack([logit(p) for p in own], axis=1)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    own = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y")).filter(~held_out(F.col("doc_id")))
-    by = F.xxhash64("doc_id")
-    known = own.orderBy(by, "doc_id").limit(MOST_LABELLED)
-    others = docs.select("doc_id").filter("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti")
-    picked = written(known.unionByName(others.orderBy(by, "doc_id").limit(MOST_POOL).withColumn("y", F.lit(-1))), "quality-sample")
+N_TEXT, N_META = len(text_view("")), len(metadata_view(None, None, None))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, y and x: both views of each row as bytes."""
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text, meta = views(pdf)
-            yield pd.DataFrame({"text": list(text), "meta": list(meta), "y": pdf["y"]})
+            x = np.concatenate([v.reshape(len(pdf), n) for v, n in zip(views(pdf), (N_TEXT, N_META), strict=True)], axis=1)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [r.tobytes() for r in x], "y": pdf["y"]})
+
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", "y").mapInPandas(lean(run), "doc_id long, x binary, y int")
+
+
+def unpacked(x) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(map(bytes, x)), np.float64).reshape(-1, N_TEXT + N_META)
+    return both[:, :N_TEXT], both[:, N_TEXT:]
+
+
+def from_table(pool: DataFrame) -> Pick:
+    """Picks from all rows of a written table of doc_id and x. Each task keeps its surest, which are compared by ever
+    fewer tasks; the driver gets the surest of all."""
+    schema = "teacher int, label double, p double, doc_id long, x binary"
+
+    def pick(models: list, wanted: tuple[int, int], taken: frozenset) -> list[Picked]:
+        def rows_of(teacher: int, p: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple]:
+            return [(teacher, y, p[i], ids[i], x[i]) for at, y in surest(p, ids, wanted) for i in at]
+
+        def best(held: dict[int, list[tuple]]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame([r for rows in held.values() for r in rows], columns=["teacher", "label", "p", "doc_id", "x"]).astype({"teacher": "int32", "label": "float64", "p": "float64", "doc_id": "int64"})
+
+        def again(teacher: int, rows: list[tuple]) -> list[tuple]:
+            rows = list({r[3]: r for r in rows}.values())  # a repeated id is one document
+            p, ids, x = (np.array([r[i] for r in rows], dtype=t) for i, t in ((2, float), (3, np.int64), (4, object)))
+            return rows_of(teacher, p, ids, x)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[tuple]] = {0: [], 1: []}
+            for pdf in batches:
+                pdf = pdf[~pdf["doc_id"].isin(taken)]
+                if not len(pdf):
+                    continue
+                ids, x = pdf["doc_id"].to_numpy(np.int64), pdf["x"].to_numpy()
+                for teacher, (model, view) in enumerate(zip(models, unpacked(x), strict=True)):
+                    held[teacher] = again(teacher, held[teacher] + rows_of(teacher, model.predict(view), ids, x))
+            yield from best(held)
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[tuple]] = {0: [], 1: []}
+            for pdf in batches:
+                for teacher in held:
+                    held[teacher] = again(teacher, held[teacher] + list(pdf[pdf["teacher"] == teacher].itertuples(index=False, name=None)))
+            yield from best(held)
+
+        out = pool.select("doc_id", "x").mapInPandas(lean(score), schema)
+        parts = pool.rdd.getNumPartitions()
+        while parts > 1:
+            parts = -(-parts // FAN_IN)
+            out = out.repartition(parts).mapInPandas(merge, schema)
+        got = out.orderBy("teacher", F.desc("label"), "p", "doc_id").collect()  # PER_ROUND rows of each
+        picked = []
+        for teacher in (0, 1):
+            own = [r for r in got if r["teacher"] == teacher]
+            picked.append(([r["doc_id"] for r in own], unpacked([r["x"] for r in own]), np.array([r["label"] for r in own])))
+        return picked
+
+    return pick
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(lean(measure), "text array<double>, meta array<double>, y int").toPandas()
+
+def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
+    own = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y")).filter(~held_out(F.col("doc_id")))
+    known = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "quality-sample")
+    got = measured(docs.join(F.broadcast(known), "doc_id")).toPandas()
     y = got["y"].to_numpy().astype(float)
-    text, meta = (np.array(got[c].tolist()).reshape(len(got), -1 if len(got) else 1) for c in ("text", "meta"))
+    text, meta = unpacked(got["x"])
     if len(got):  # the fit doesn't depend on the order of rows
         order = np.lexsort((*meta.T, *text.T, y))
         y, text, meta = y[order], text[order], meta[order]
-    on = y >= 0
-    return CoTrained((text[on], meta[on]), y[on], (text[~on], meta[~on]))
+    others = docs.filter("doc_id is not null").join(small(written(labels.select("doc_id").distinct(), "quality-labels")), "doc_id", "left_anti")
+    pool = written(measured(others.withColumn("y", F.lit(-1))), "quality-pool")
+    return CoTrained((text, meta), y, from_table(pool))
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

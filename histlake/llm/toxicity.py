@@ -3,7 +3,8 @@
 Features of a whole text: densities of a learned lexicon (whole words, and beginnings of words for languages that
 inflect), its hits in all and at their densest, how near second-person words stand to hits, shares of capitals and
 punctuation, and how much is obfuscated (signs or digits inside words; words that reach the lexicon only once these
-are undone). Lexicon, trees and isotonic calibration are learned from labelled rows outside the held-out fold.
+are undone). Lexicon, trees and isotonic calibration are learned from labelled rows outside the held-out fold; the
+scores that calibration is learned from are those of lexicons and trees that have not seen their rows.
 
 Defined results: null and empty texts have zero features and get a score like any other; rows are scored one by one,
 so repeated rows and ties each keep a row; labels of null, or of ids without a document, teach nothing; without
@@ -15,16 +16,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.llm.common import held_out, table, written
-from histlake.llm.learners import BoostedTrees, Isotonic, out_of_fold
+from histlake.llm.learners import BoostedTrees, Isotonic
 
-#: Bounds of the fitting sample: rows of each label, in an order of hashes, and of the lexicon.
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 3000, 5000, 4000
+#: Bounds of the fitting sample: rows of each label, in an order of hashes. What is learned is bounded by it.
+MOST_TOXIC, MOST_CLEAN = 3000, 5000
+#: Parts of the sample, each scored by a lexicon and trees of the others.
+FOLDS = 4
 STEMS, LEAST_DF, LEAST_RATIO = (4, 5), 4, 20.0
 #: Least log-likelihood ratio of a term, against standing in toxic texts by chance as often as it does.
 LEAST_EVIDENCE = 10.0
@@ -82,7 +87,7 @@ class Lexicon:
             densest = int((np.searchsorted(a, a + 50) - np.arange(len(a))).max())
         odd = [w for w in WORD.findall(low) if not w.isalpha()] if not low.isalpha() else []
         undone = sum(self.weight(re.sub(r"[^\w]|_", "", w.translate(LEET))) > 0 and not any(self.weight(p) for p in PLAIN.findall(w)) for w in odd)
-        upper = sum(map(text.count, UPPER))
+        upper = sum(n for c, n in Counter(text).items() if c.isupper())
         return [
             hits / n, exact / n, sum(bad[w] * counts[w] for w in bad) / n, float(hits), float(len(bad)), max(bad.values(), default=0.0),
             float(densest), near / n, float(near), upper / len(text), sum(map(text.count, ".,;:?")) / len(text), text.count("!") / len(text),
@@ -90,50 +95,61 @@ class Lexicon:
         ]
 
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NAMES = ["hit_rate", "word_rate", "weight_rate", "hits", "distinct", "strongest", "densest", "near_rate", "near", "capitals", "marks", "shouts", "odd_rate", "undone", "undone_rate", "log_words"]
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of a bounded sample of labelled rows outside the held-out fold."""
+    """text, toxic and fold of a bounded sample of labelled rows outside the held-out fold."""
     own = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by = F.xxhash64("doc_id")
+    by = F.xxhash64("doc_id", F.lit("sample"))
     parts = [own.filter(F.col("toxic") == k).orderBy(by, "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     picked = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", fold.alias("fold"))
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Terms in far more toxic than clean texts, weighted by the log of the ratio."""
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Terms in far more toxic than clean texts, weighted by the log of the ratio: of all rows, and of all but each
+    fold's. Counts are made once, by fold."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: Counter = Counter()
         for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                seen[toxic].update(terms(text or ""))
-                seen[toxic][""] += 1
-        yield pd.DataFrame([(t, seen[1][t], seen[0][t]) for t in seen[0] | seen[1]], columns=["term", "toxic", "clean"])
-
-    found = written(rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "terms")
-    total = found.filter("term = ''").first()
-    if not total or not total["toxic"] or not total["clean"]:
-        return Lexicon({})
-    ratio = (F.col("toxic") + 0.5) / (total["toxic"] + 1) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
-    best = found.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_DF)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    share, n = total["toxic"] / (total["toxic"] + total["clean"]), F.col("toxic") + F.col("clean")
-    bits = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
-    best = best.withColumn("evidence", bits(F.col("toxic"), share) + bits(F.col("clean"), 1 - share)).filter(F.col("evidence") >= LEAST_EVIDENCE)
-    best = best.orderBy(F.desc(F.round("evidence", 6)), F.desc(F.length("term")), "term").limit(MOST_TERMS).select("term", F.log("ratio").alias("w"))
-    ranked = [(r["term"], r["w"]) for r in best.collect()]
-    known = frozenset(t for t, _ in ranked)
+            for text, toxic, fold in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
+                seen.update((t, fold, toxic) for t in [*terms(text or ""), ""])
+        yield pd.DataFrame([(t, f, y, n) for (t, f, y), n in seen.items()], columns=["term", "fold", "toxic", "n"])
+
+    of = lambda y, f: F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"{'toxic' if y else 'clean'}{f}")
+    counted = rows.mapInPandas(count, "term string, fold int, toxic int, n long").groupBy("term").agg(*[of(y, f) for y in (0, 1) for f in range(FOLDS)])
+    found = written(counted, "terms")
+    totals = found.filter("term = ''").first()
+    ranked = [best_terms(found, totals, left) for left in (None, *range(FOLDS))]
+    known = frozenset(t for x in ranked for t, _ in x)
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = [set(PLAIN.findall((t or "").lower())) for t in pdf["text"]]
-            yield pd.DataFrame({"words": [sorted(w for w in x if any(t in known for t in forms(w))) for x in words]})
-
-    texts = [r["words"] for r in rows.filter("toxic = 1").select("text").mapInPandas(matched, "words array<string>").collect()]
-    return Lexicon(dict(explaining(ranked, texts)))
+            yield pd.DataFrame({"words": [sorted(w for w in x if any(t in known for t in forms(w))) for x in words], "fold": pdf["fold"]})
+
+    # Of a bounded sample, and only what its lexicons may hold.
+    texts = [(r["words"], r["fold"]) for r in rows.filter("toxic = 1").select("text", "fold").mapInPandas(matched, "words array<string>, fold int").collect()]
+    return [Lexicon(dict(explaining(x, [w for w, f in texts if f != left]))) for x, left in zip(ranked, (None, *range(FOLDS)), strict=True)]
+
+
+def best_terms(found: DataFrame, totals, left: int | None) -> list[tuple[str, float]]:
+    """Terms with evidence and their weights, best first, without the rows of a fold."""
+    folds = [f for f in range(FOLDS) if f != left]
+    toxic, clean = (sum(totals[f"{y}{f}"] for f in folds) if totals else 0 for y in ("toxic", "clean"))
+    if not toxic or not clean:
+        return []
+    own = found.select("term", *[reduce(add, (F.col(f"{y}{f}") for f in folds)).alias(y) for y in ("toxic", "clean")])
+    ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
+    best = own.filter((F.col("term") != "") & (F.col("toxic") >= LEAST_DF)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    share, n = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
+    bits = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    best = best.withColumn("evidence", bits(F.col("toxic"), share) + bits(F.col("clean"), 1 - share)).filter(F.col("evidence") >= LEAST_EVIDENCE)
+    # As many as a bounded sample can have.
+    return [(r["term"], r["w"]) for r in best.orderBy(F.desc(F.round("evidence", 6)), F.desc(F.length("term")), "term").select("term", F.log("ratio").alias("w")).collect()]
 
 
 def explaining(ranked: list[tuple[str, float]], texts: list[list[str]]) -> Iterator[tuple[str, float]]:
@@ -156,11 +172,17 @@ def explaining(ranked: list[tuple[str, float]], texts: list[list[str]]) -> Itera
 class Scorer:
     """A fitted model; score() takes texts."""
 
-    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray):
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, unseen: np.ndarray, fold: np.ndarray):
+        """x are features by the lexicon, unseen those by lexicons without the row's fold."""
         self.lexicon, self.trees, self.share = lexicon, None, float(y.mean()) if len(y) else 0.0
         if 0 < y.sum() < len(y):
             self.trees = BoostedTrees().fit(x, y)
-            self.calibration = Isotonic().fit(out_of_fold(BoostedTrees, x, y), y)
+            raw = np.zeros(len(y))
+            for f in np.unique(fold):
+                # Trees of the other folds, whose own features are by the lexicon of those folds.
+                out = fold == f
+                raw[out] = BoostedTrees().fit(unseen[f][~out], y[~out]).raw(unseen[f][out]) if (~out).any() else self.trees.base
+            self.calibration = Isotonic().fit(raw, y)
 
     def score(self, texts) -> np.ndarray:
         if self.trees is None:
@@ -171,16 +193,17 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = written(sample(docs, labels), "toxicity-sample")
-    lexicon = learn_lexicon(rows)
+    lexicons = learn_lexicons(rows)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [lexicon.features(t) for t in pdf["text"]], "y": pdf["toxic"].astype("float64")})
+            yield pd.DataFrame({"x": [[v for l in lexicons for v in l.features(t)] for t in pdf["text"]], "y": pdf["toxic"].astype("float64"), "fold": pdf["fold"]})
 
-    got = rows.mapInPandas(measure, "x array<double>, y double").toPandas()
-    x = np.array(got["x"].tolist()).reshape(-1, len(NAMES))
-    order = np.lexsort((*x.T, got["y"]))  # the fit doesn't depend on the order of rows
-    return Scorer(lexicon, x[order], got["y"].to_numpy()[order])
+    got = rows.mapInPandas(measure, "x array<double>, y double, fold int").toPandas()
+    x = np.array(got["x"].tolist()).reshape(-1, len(lexicons) * len(NAMES))
+    order = np.lexsort((*x.T, got["y"], got["fold"]))  # the fit doesn't depend on the order of rows
+    each = x[order].reshape(len(x), len(lexicons), len(NAMES)).swapaxes(0, 1)
+    return Scorer(lexicons[0], each[0], got["y"].to_numpy()[order], each[1:], got["fold"].to_numpy()[order])
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

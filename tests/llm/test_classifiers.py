@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from histlake.llm import quality_classifier, toxicity
 from histlake.llm.common import held_out, table
-from histlake.llm.learners import BoostedTrees, Isotonic, Logistic, folds, out_of_fold
+from histlake.llm.learners import BoostedTrees, Isotonic, Logistic, folds
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,8 +41,7 @@ def test_isotonic_is_the_least_squares_monotone_fit():
 
 
 def test_folds():
-    x, y = data()
-    assert sorted(np.bincount(folds(10, 4))) == [2, 2, 3, 3] and len(out_of_fold(BoostedTrees, x, y)) == len(y)
+    assert sorted(np.bincount(folds(10, 4))) == [2, 2, 3, 3]
 
 
 def labelled(df, spark, column):
@@ -58,6 +57,21 @@ def test_toxicity_held_out(spark):
     assert far[far["toxic"] == 1]["predicted"].mean() > 0.6
 
 
+def test_calibration_sees_no_term_of_its_own_rows(spark):
+    """Terms that stand in one fold alone are in the lexicon of all rows, and in none of those without the fold."""
+    rows = [(f"plain words number {i}", 0, i % toxicity.FOLDS) for i in range(400)] + [(f"shared{i % 3}bad fold{i % toxicity.FOLDS}bad plain", 1, i % toxicity.FOLDS) for i in range(400)]
+    whole, *left = toxicity.learn_lexicons(spark.createDataFrame([(t.replace("0", "zero").replace("1", "one").replace("2", "two").replace("3", "three"), y, f) for t, y, f in rows], "text string, toxic int, fold int"))
+    names = ["foldzerobad", "foldonebad", "foldtwobad", "foldthreebad"]
+    assert whole.weight("sharedzerobad") > 0
+    for f, lexicon in enumerate(left):
+        assert names[f] not in lexicon.words and lexicon.weight("sharedonebad") > 0
+
+
+def test_capitals_of_any_script():
+    capitals = dict(zip(toxicity.NAMES, toxicity.Lexicon({}).features("ÄÉabЖ"), strict=True))["capitals"]
+    assert capitals == 3 / 5
+
+
 def test_toxicity_features():
     lex = toxicity.Lexicon({"idiot": 3.0, "lowei*": 2.0})
     f = lambda t: dict(zip(toxicity.NAMES, lex.features(t), strict=True))
@@ -116,8 +130,8 @@ def test_co_training_uses_the_pool():
     n = 3000
     y = (r.random(n) < 0.6).astype(float)
     views = tuple(r.normal(size=(n, 3)) + 1.2 * y[:, None] for _ in range(2))
-    few, pool, far = slice(0, 60), slice(60, 2000), slice(2000, n)
-    model = quality_classifier.CoTrained(tuple(v[few] for v in views), y[few], tuple(v[pool] for v in views))
+    few, pool, far = slice(0, 90), slice(90, 2000), slice(2000, n)
+    model = quality_classifier.CoTrained(tuple(v[few] for v in views), y[few], quality_classifier.from_arrays(*(v[pool] for v in views)))
     p = model.score(*(v[far] for v in views))[2]
     assert ((p > 0.5) == y[far]).mean() > 0.85
 
@@ -125,4 +139,20 @@ def test_co_training_uses_the_pool():
 @pytest.mark.parametrize("n", [0, 3])
 def test_too_few_labels(n):
     e = (np.zeros((n, 2)), np.zeros((n, 2)))
-    assert quality_classifier.CoTrained(e, np.ones(n), (np.zeros((0, 2)), np.zeros((0, 2)))).score(np.zeros((2, 2)), np.zeros((2, 2)))[2].tolist() == [1.0, 1.0]
+    assert quality_classifier.CoTrained(e, np.ones(n), quality_classifier.from_arrays(np.zeros((0, 2)), np.zeros((0, 2)))).score(np.zeros((2, 2)), np.zeros((2, 2)))[2].tolist() == [1.0, 1.0]
+
+
+def test_the_whole_pool_is_searched(spark, monkeypatch):
+    """The surest rows by tasks that compare ever fewer are the surest of all, as an array finds them."""
+    monkeypatch.setattr(quality_classifier, "FAN_IN", 2)
+    r = np.random.default_rng(3)
+    text, meta = r.normal(size=(500, quality_classifier.N_TEXT)), r.normal(size=(500, quality_classifier.N_META))
+    y = (text[:, 0] + meta[:, 0] > 0).astype(float)
+    models = [BoostedTrees().fit(text[:200], y[:200]), Logistic().fit(meta[:200], y[:200])]
+    rows = [(i, np.r_[text[i], meta[i]].tobytes()) for i in range(500)]
+    pool = spark.createDataFrame(rows + rows[:50], "doc_id long, x binary").repartition(9)
+    taken = frozenset(range(0, 500, 7))
+    for wanted in ((12, 5), (0, 3)):
+        got, want = (pick(models, wanted, taken) for pick in (quality_classifier.from_table(pool), quality_classifier.from_arrays(text, meta)))
+        for (a, (ta, ma), la), (b, (tb, mb), lb) in zip(got, want, strict=True):
+            assert sorted(zip(a, la)) == sorted(zip(b, lb)) and np.array_equal(ta[np.argsort(a)], tb[np.argsort(b)]) and np.array_equal(ma[np.argsort(a)], mb[np.argsort(b)]) and a
