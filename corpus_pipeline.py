@@ -1,9 +1,10 @@
 """The corpus pipeline: five operators in turn, each over all that its predecessor kept.
 
 Documents that the quality classifier rejects go; one document of each group of near copies stays (that with the
-smallest id); documents that hold a benchmark item go; personal data become pseudonyms; what is left is encoded.
-Rows without an id can't be named by a decision and so pass stages 2 and 3. The columns of documents stay as they are,
-clashing names included; a table without rows gives one without rows.
+smallest id, one with an id before one without); documents that hold a benchmark item go; personal data become
+pseudonyms; what is left is encoded. Each row is judged by itself, so rows without an id, and rows that share one but not
+the text, meet the same decisions as all others. Texts without words are copies of nothing. The columns of documents
+stay as they are, clashing names included; a table without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -14,30 +15,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.llm import decontaminate, ngram_join, pii, quality_classifier, sentencepiece_codec
 from histlake.llm.common import small, table, written
+from histlake.scratch import clearing, delete, scratch
 
+#: Names for columns of a stage's own, which no input is likely to have.
+KEY, OWN = "_pipeline_key", "_pipeline_own_"
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(small(written(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(small(written(keys.select(KEY).distinct(), "dropped")), KEY, "left_anti")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    bad = quality_classifier.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), model).filter("predicted = 0")
-    return without(docs, bad)
+    # The score's columns replace ones of their names, so those are named otherwise meanwhile.
+    names = {c: OWN + c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")}
+    kept = quality_classifier.score(docs.withColumnsRenamed(names), model).filter("predicted = 1")
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.classes_of(docs)
-    kept = without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
-    # Repeated rows of one id are copies too.
-    again = written(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null"), "repeated")
-    if again.isEmpty():
-        return kept
-    return without(kept, again).unionByName(kept.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    keyed = written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    found = ngram_join.classes_of(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("component"))
+    copies = written(found.join(found.groupBy("component").count().filter("count > 1").drop("count"), "component"), "copies")
+    ids = keyed.select(KEY, "doc_id").join(small(copies), KEY)
+    first = F.min_by(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")
+    stays = ids.groupBy("component").agg(first).select(F.col("first").alias(KEY))
+    return without(keyed, copies.select(KEY).join(stays, KEY, "left_anti")).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Whether a text holds an item is a matter of the text alone, so texts are named by their digest."""
+    named = docs.withColumn(KEY, F.md5("text"))
+    found = decontaminate.leaks(named.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(named, found.select(F.col("doc_id").alias(KEY))).select(docs.columns)
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else written(docs, f"stage-{i}"), sf_dir)
-    return docs
+    """The last stage's rows. What a stage has written goes once its result is, and that once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    *stages, (_, last) = STAGES
+    for i, (_, stage) in enumerate(stages, 1):
+        path = scratch(spark, f"stage-{i}")
+        with clearing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            delete(spark, before)
+        before, docs = path, spark.read.schema(out.schema).parquet(path)
+    return last(spark, docs, sf_dir)
