@@ -56,8 +56,8 @@ BUCKET_BYTES, PART_ROWS = 4 << 20, 200_000
 FAN_IN, CELL_ROWS, PARTNERS = 64, 512, 2000
 #: Bytes of partners' sets in one prefix tree.
 TREE_BYTES = 16 << 20
-#: Words whose hashes a worker remembers.
-MOST_WORDS = 300_000
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
 #: Stands for a null doc_id on the way through Python.
 NOBODY = -(1 << 63)
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<u4")])
@@ -70,35 +70,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, those met lately remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-WORDS = WordHashes()
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word of a text's bytes. Bytes are split at the ASCII gaps, and at no other."""
-    words = data.split()
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+GAPS = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Which bits of eight bytes are a word's own, by how many bytes of it are left.
+OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text's bytes begins, and a 64-bit hash of it: eight bytes at a time of all words together,
+    mixed in between. Words of one length up to eight bytes never share one; LONG_WORD bytes and more are hashed one by
+    one."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[True, GAPS[raw], True]))
+    starts, ends = edges[::2], edges[1::2]
+    n = ends - starts
+    # The eight bytes from each place on.
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    h = mixed((eight[starts] & OWN[np.minimum(n, 8)]) * MULT[0] + n.astype(np.uint64) * MULT[1])
+    left, at = np.flatnonzero((n > 8) & (n < LONG_WORD)), 8
+    while len(left):
+        own = eight[starts[left] + at] & OWN[np.minimum(n[left] - at, 8)]
+        h[left] = mixed((h[left] ^ own) * MULT[2] + np.uint64(at))
+        at += 8
+        left = left[n[left] > at]
+    for i in np.flatnonzero(n >= LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return starts, h
+
+
+def set_hashes(texts) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles. Words and shingles of all texts are hashed together."""
+    data = [x.encode("utf-8", "surrogatepass").lower() if isinstance(x, str) else b"" for x in texts]
+    starts, w = word_hashes(b" ".join(data))
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in data)])).tolist()
+    # Hashes of words are as good as random, so a sum with odd factors parts sequences; what runs over texts is not read.
+    n = max(0, len(w) - WIDTH + 1)
+    h = np.full(n, WIDTH, np.uint64)
+    for i in range(WIDTH):
+        h += w[i : n + i] * MULT[i]
+    h, out = mixed(h), []
+    for a, b in zip(edges, edges[1:]):
+        if b - a >= WIDTH:
+            own = np.sort(h[a : b - WIDTH + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+        else:
+            out.append(mixed((w[a:b] * MULT[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64))
+    return out
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    w = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if isinstance(text, str) else []
-    if not len(w):
-        return np.empty(0, np.uint64)
-    k = min(WIDTH, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h += mixed(w[i : len(w) - k + 1 + i] * MULT[i] + np.uint64(i))
-    return np.unique(mixed(h))
+    return set_hashes([text])[0]
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -135,7 +155,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for pdf in slices(batches):
-            sets = [shingle_hashes(x) for x in pdf["text"]]
+            sets = set_hashes(pdf["text"])
             places, times = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
             cells[places.astype(np.int64)] += times
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sid": pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64"), "bits": [bitmap(s) if len(s) else None for s in sets], "slice": pd.Series([None] * len(sets), dtype="Int32"), "cells": pd.Series([None] * len(sets), dtype=object)})
@@ -197,9 +217,8 @@ def prefixes(docs: DataFrame, classes, buckets: int, parts: np.ndarray) -> DataF
             ends = np.cumsum(np.bincount(b, minlength=buckets))
             return pd.DataFrame([(i, p.tobytes()) for i, p in enumerate(np.split(e, ends[:-1])) if len(p)], columns=["bucket", "entries"]).astype({"bucket": "int32"})
 
-        for pdf in batches:
-            for text in pdf["text"]:
-                h = shingle_hashes(text)
+        for pdf in slices(batches):
+            for h in set_hashes(pdf["text"]):
                 if not len(h) or (sid := set_id(h)) in seen:
                     continue
                 seen.add(sid)
@@ -367,7 +386,7 @@ def sets_of(docs: DataFrame, survey: DataFrame, wanted: DataFrame, classes) -> D
         for pdf in slices(batches):
             # Rows that repeat an id may hold other texts; the set's hash tells them apart.
             asked = pdf["sid"] if "sid" in pdf else [None] * len(pdf)
-            keys = [(s, h) for a, x in zip(asked, pdf["text"], strict=True) if len(h := shingle_hashes(x)) and (s := set_id(h)) not in done and a in (None, s) and not done.add(s)]
+            keys = [(s, h) for a, h in zip(asked, set_hashes(pdf["text"]), strict=True) if len(h) and (s := set_id(h)) not in done and a in (None, s) and not done.add(s)]
             yield pd.DataFrame({"sid": [s for s, _ in keys], "keys": [ordered(h, classes.value).tobytes() for _, h in keys]}).astype({"sid": "int64"})
 
     made = lambda df: df.mapInPandas(lean(sets), "sid long, keys binary")
@@ -512,7 +531,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     def across(own: DataFrame, stats: DataFrame, many: bool, nearest: bool = False) -> DataFrame:
         """Pairs under shingles that few sets have, or many; those by bitmaps."""
         stats = stats.filter(F.col("total") >= MANY if many else F.col("total") < MANY)
-        dealt = celled(own, small(stats))
+        dealt = celled(own, small(stats, 200_000))
         dealt = (dealt.join(bits, "a") if many else dealt).repartition(*CELL).sortWithinPartitions(*CELL, "na", "a")
         return dealt.mapInPandas(lean(crossing(nearest)), "one long, " * nearest + "a long, b long, na long, nb long, c long")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from histlake.llm import ngram_join
 from histlake.llm.components import components
-from histlake.llm.ngram_join import Tree, classes_of, needed, prefix_length, shingle_hashes, word_hashes
+from histlake.llm.ngram_join import Tree, classes_of, needed, prefix_length, set_hashes, shingle_hashes, word_hashes
 from tests.llm.conftest import prose
 
 
@@ -129,7 +129,10 @@ def test_words():
     for _ in range(10):
         morse += morse.translate(str.maketrans("ab", "ba"))
     both = f"{morse} {morse.translate(str.maketrans('ab', 'ba'))}".encode()
-    assert len(set(word_hashes(both).tolist())) == 2
+    assert len(set(word_hashes(both)[1].tolist())) == 2
+    # Texts that are hashed together have the sets that they have alone.
+    texts = ["a b c d e f", None, "", "x", prose(1, 300), "a b c d e f", "\n", "w" * 256 + " " + "w" * 255, prose(2, 4), "é" * 9]
+    assert all(np.array_equal(a, shingle_hashes(x)) for a, x in zip(set_hashes(texts), texts, strict=True))
     assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("É b")) == 1
     assert np.array_equal(shingle_hashes("A  b\x0bc d E"), shingle_hashes("a b c\td e"))
     assert not np.array_equal(shingle_hashes("É b c d e"), shingle_hashes("é b c d e"))
