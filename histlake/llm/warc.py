@@ -153,7 +153,8 @@ FIELDS = ("url_key", "page_id", "archive", "start", "size")
 
 
 def build_index(manifest: DataFrame) -> DataFrame:
-    """The written table of blocks: block, first_key, first_page, n, data (compressed lines of captures, sorted)."""
+    """The written table of blocks: block, its first capture (key, page, archive, start), n, data (compressed lines of
+    captures, sorted). No two captures are equal in these four, so blocks have one order, also those of one key."""
     spark = manifest.sparkSession
     rows = max(BLOCK_ROWS, -(-manifest.count() // MOST_BLOCKS))
 
@@ -161,8 +162,8 @@ def build_index(manifest: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def block(part: list[tuple]) -> dict:
-            lines = "\n".join("\t".join("" if v is None else str(v) for v in (re.sub(r"[\t\n]", " ", r[0]), *r[1:])) for r in part)
-            return {"block": uuid.uuid4().hex, "first_key": part[0][0], "first_page": part[0][1], "n": len(part), "data": zlib.compress(lines.encode("utf-8", "surrogatepass"), 6)}
+            lines = "\n".join("\t".join("" if v is None else str(v) for v in r) for r in part)
+            return {"block": uuid.uuid4().hex, "first_key": part[0][0], "first_page": part[0][1], "first_archive": part[0][2], "first_start": part[0][3], "n": len(part), "data": zlib.compress(lines.encode("utf-8", "surrogatepass"), 6)}
 
         for pdf in batches:
             held += list(zip(pdf["url_key"], pdf["page"], pdf["archive"], pdf["start"], pdf["size"], strict=True))
@@ -174,8 +175,8 @@ def build_index(manifest: DataFrame) -> DataFrame:
 
     page = F.coalesce(F.col("page_id"), F.lit(NOBODY)).alias("page")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // rows)))
-    keyed = manifest.select("url_key", page, "archive", "start", "size").repartitionByRange(parts, "url_key", "page", "archive", "start").sortWithinPartitions("url_key", "page", "archive", "start")
-    return written(keyed.mapInPandas(run, "block string, first_key string, first_page long, n long, data binary"), "warc-index")
+    keyed = manifest.select(F.translate("url_key", "\t\n", "  ").alias("url_key"), page, "archive", "start", "size").repartitionByRange(parts, "url_key", "page", "archive", "start").sortWithinPartitions("url_key", "page", "archive", "start")
+    return written(keyed.mapInPandas(run, "block string, first_key string, first_page long, first_archive string, first_start long, n long, data binary"), "warc-index")
 
 
 #: Stands for a null page_id in the index.
@@ -200,8 +201,9 @@ class CaptureIndex:
 
     def __init__(self, blocks: DataFrame):
         self.blocks = blocks
-        rows = blocks.select("first_key", "first_page", "block").orderBy("first_key", "first_page").collect()
-        self.firsts, self.names = [(r[0], r[1]) for r in rows], [r[2] for r in rows]
+        first = ["first_key", "first_page", "first_archive", "first_start"]
+        rows = blocks.select(*first, "block").orderBy(*first).collect()
+        self.firsts, self.names = [tuple(r)[:4] for r in rows], [r[4] for r in rows]
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Headers and payloads of all captures of a URL; of revisits the payload of their response."""
@@ -242,7 +244,7 @@ def resolve(requests: DataFrame, blocks: DataFrame) -> DataFrame:
         for pdf in batches:
             asked = list(zip(pdf["url_key"], pdf["page"], strict=True))
             # The block before the first that begins with the key may end with it.
-            spans = [(max(0, bisect.bisect_left(firsts, x) - 1), bisect.bisect_right(firsts, x)) for x in asked]
+            spans = [(max(0, bisect.bisect_left(firsts, x) - 1), bisect.bisect_left(firsts, (x[0], x[1] + 1))) for x in asked]
             rows = ((*x, names[i]) for x, (a, b) in zip(asked, spans, strict=True) for i in range(a, b))
             while part := list(itertools.islice(rows, 10_000)):
                 yield pd.DataFrame(part, columns=["url_key", "page", "block"])
