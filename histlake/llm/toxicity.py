@@ -29,7 +29,7 @@ from histlake.llm.learners import BoostedTrees, Isotonic
 #: Bounds of the fitting sample: rows of each label, in an order of hashes. What is learned is bounded by it.
 MOST_TOXIC, MOST_CLEAN = 3000, 5000
 #: Parts of the sample, each scored by a lexicon and trees of the others.
-FOLDS = 4
+FOLDS = 10
 STEMS, LEAST_DF, LEAST_RATIO = (4, 5), 4, 20.0
 #: Least log-likelihood ratio of a term, against standing in toxic texts by chance as often as it does.
 LEAST_EVIDENCE = 10.0

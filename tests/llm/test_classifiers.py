@@ -59,12 +59,12 @@ def test_toxicity_held_out(spark):
 
 def test_calibration_sees_no_term_of_its_own_rows(spark):
     """Terms that stand in one fold alone are in the lexicon of all rows, and in none of those without the fold."""
-    rows = [(f"plain words number {i}", 0, i % toxicity.FOLDS) for i in range(400)] + [(f"shared{i % 3}bad fold{i % toxicity.FOLDS}bad plain", 1, i % toxicity.FOLDS) for i in range(400)]
-    whole, *left = toxicity.learn_lexicons(spark.createDataFrame([(t.replace("0", "zero").replace("1", "one").replace("2", "two").replace("3", "three"), y, f) for t, y, f in rows], "text string, toxic int, fold int"))
-    names = ["foldzerobad", "foldonebad", "foldtwobad", "foldthreebad"]
-    assert whole.weight("sharedzerobad") > 0
+    own = lambda f: f"fold{chr(97 + f) * 3}bad"
+    rows = [("plain words of some number", 0, i % toxicity.FOLDS) for i in range(400)] + [(f"sharedbad {own(i % toxicity.FOLDS)} plain", 1, i % toxicity.FOLDS) for i in range(400)]
+    whole, *left = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    assert whole.weight("sharedbad") > 0 and len(left) == toxicity.FOLDS
     for f, lexicon in enumerate(left):
-        assert names[f] not in lexicon.words and lexicon.weight("sharedonebad") > 0
+        assert own(f) not in lexicon.words and lexicon.weight("sharedbad") > 0
 
 
 def test_capitals_of_any_script():
