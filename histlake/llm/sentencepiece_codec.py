@@ -15,7 +15,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,10 +28,13 @@ MODEL = os.environ.get("HISTLAKE_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Characters of texts that are cut together, and words whose ids a worker remembers.
-BATCH_CHARS = 1_000_000
-MOST_WORDS = 400_000
+#: Characters that are cut together, within a text too, and words (and their characters) whose ids a worker remembers
+#: besides those of the part at hand. They bound what a worker holds; results are the same with any.
+BATCH_CHARS = 200_000
+MOST_WORDS = 200_000
+MOST_CHARS = 4_000_000
 CUTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+EDGE = re.compile(f"[^{MARK}](?={MARK})")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -122,14 +125,19 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         with open(path, "rb") as f:
             self.model = Model(f.read())
-        self.tokenizer, self.words = build(self.model), None
+        self.words = None
         if self.model.splittable() and not any(kind == USER for _, _, kind in self.model.pieces):
             self.plain = build(self.model)
-            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), None
             self.forget()
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.texts = ["" if kind in (CONTROL, UNUSED) else " ⁇ " if kind == UNKNOWN else p for p, _, kind in self.model.pieces]
 
+    @cached_property
+    def tokenizer(self):
+        """That of whole texts, which most models need for nothing."""
+        return build(self.model)
+
     def normalised(self, text: str) -> str:
         if self.model.charsmap or self.model.squeeze:
             return self.tokenizer.normalizer.normalize_str(text)
@@ -144,36 +152,42 @@ class Codec:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             same = [self.raw(i) == self.normalised(x) for i, x in zip(ids, texts, strict=True)]
             return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(i) for i in ids], np.int64), np.array(same, bool)
-        flat, sizes, same = [], [], []
-        for held in self.cut(texts):
+        flat, sizes, bad = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for first, held in self.cut(texts):
             at = self.learn(list(chain.from_iterable(held)))
-            n = self.length[at]
-            # Ids of word after word: each place is its word's first, plus its distance from there.
-            ends = np.cumsum(n)
-            flat.append(self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            flat.append(self.ids(at))
             edges = np.cumsum([0, *map(len, held)])
-            sizes.append(np.diff(np.r_[0, ends][edges]))
-            same.append(np.diff(np.r_[0, np.cumsum(~self.good[at])][edges]) == 0)
-        return (np.concatenate([np.empty(0, t), *x]) for x, t in ((flat, np.int32), (sizes, np.int64), (same, bool)))
-
-    def cut(self, texts: list[str]) -> Iterator[list[list[str]]]:
-        """Words of each text, of BATCH_CHARS at a time."""
-        held, chars = [], 0
-        for text in texts:
-            held.append(CUTS.findall(self.normalised(text)))
-            chars += len(text)
-            if chars >= BATCH_CHARS:
-                yield held
-                held, chars = [], 0
+            sizes[first : first + len(held)] += np.diff(np.r_[0, np.cumsum(self.length[at])][edges])
+            bad[first : first + len(held)] += np.diff(np.r_[0, np.cumsum(~self.good[at])][edges])
+        return np.concatenate(flat), sizes, bad == 0
+
+    def cut(self, texts: list[str]) -> Iterator[tuple[int, list[list[str]]]]:
+        """Words of each text, of about BATCH_CHARS at a time, with the place of the first text; what is left of a text
+        comes with the next ones."""
+        held, chars, first = [], 0, 0
+        for i, text in enumerate(texts):
+            text, start = self.normalised(text), 0
+            while True:
+                edge = EDGE.search(text, start + max(0, BATCH_CHARS - chars - 1))
+                end = edge.end() if edge else len(text)
+                held.append(CUTS.findall(text, start, end))
+                chars, start = chars + end - start, end
+                if chars >= BATCH_CHARS:
+                    yield first, held
+                    held, chars, first = [], 0, i if start < len(text) else i + 1
+                if start >= len(text):
+                    break
         if held:
-            yield held
+            yield first, held
 
     def learn(self, parts: list[str]) -> np.ndarray:
-        """Places of parts among the words remembered, of which there are MOST_WORDS and a batch's own at most."""
+        """Places of parts among the words remembered. Where new ones would pass a bound, those used most since the last
+        time stay, up to half of each bound."""
         new = [p for p in set(parts) if p not in self.words]
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.forget()
-            new = list(set(parts))
+        if len(self.words) + len(new) > MOST_WORDS or self.chars + sum(map(len, new)) > MOST_CHARS:
+            names, order = list(self.words), np.argsort(-self.uses, kind="stable")[: MOST_WORDS // 2]
+            self.forget(names, order[np.cumsum([len(names[i]) for i in order]) <= MOST_CHARS // 2])
+            new = [p for p in set(parts) if p not in self.words]
         ids = [e.ids for e in self.plain.encode_batch_fast(new, add_special_tokens=False)]
         n = np.array([len(i) for i in ids], np.int64)
         self.start = np.r_[self.start, len(self.pool) + np.cumsum(n) - n]
@@ -181,11 +195,26 @@ class Codec:
         self.good = np.r_[self.good, np.array([self.raw(i) == p for p, i in zip(new, ids, strict=True)], bool)]
         self.pool = np.r_[self.pool, np.fromiter(chain.from_iterable(ids), np.int32)]
         self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        return np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
-
-    def forget(self) -> None:
-        self.words, self.pool = {}, np.empty(0, np.int32)
-        self.start, self.length, self.good = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.chars += sum(map(len, new))
+        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        self.uses = np.r_[self.uses, np.zeros(len(new), np.int64)] + np.bincount(at, minlength=len(self.words))
+        return at
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """Ids of word after word: each place is its word's first, plus its distance from there."""
+        n = self.length[at]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def forget(self, names: list[str] = (), kept: np.ndarray = ()) -> None:
+        """All words but those at these places of names."""
+        if len(kept):
+            self.pool, self.length, self.good = self.ids(kept), self.length[kept], self.good[kept]
+        else:
+            self.pool, self.length, self.good = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)
+        self.start, self.uses = np.cumsum(self.length) - self.length, np.zeros(len(kept), np.int64)
+        self.words = {names[i]: k for k, i in enumerate(kept)}
+        self.chars = sum(map(len, self.words))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         flat, sizes, _ = self.encode_flat(texts)

@@ -34,6 +34,27 @@ def test_forgetting(monkeypatch):
     assert Codec(MODEL).encode(ODD) == codec(MODEL).encode(ODD)
 
 
+def test_what_a_worker_holds_is_bounded(monkeypatch):
+    """Neither one long text nor long words make a worker hold more than the bounds and one part's words."""
+    texts = [*ODD, " ".join(f"w{i * 7919 % 9973}" for i in range(20_000)), " ".join("y" * 400 + str(i) for i in range(60)), " the cat" * 3000, "z" * 3000]
+    plain = Codec(MODEL).encode_flat(texts)
+    for name, value in (("BATCH_CHARS", 2000), ("MOST_WORDS", 2000), ("MOST_CHARS", 8000)):
+        monkeypatch.setattr(f"histlake.llm.sentencepiece_codec.{name}", value, raising=False)
+    c, learn, seen = Codec(MODEL), Codec.learn, []
+
+    def watched(self, parts):
+        at = learn(self, parts)
+        seen.append((sum(map(len, parts)), len(self.words), sum(map(len, self.words))))
+        return at
+
+    monkeypatch.setattr(Codec, "learn", watched)
+    for a, b in zip(plain, c.encode_flat(texts), strict=True):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+    part, words, chars = (max(x) for x in zip(*seen, strict=True))
+    longest = max(len(w) for x in texts for w in x.split(" ")) + 1
+    assert part <= 2000 + longest and words <= 2000 + part and chars <= 8000 + part
+
+
 def varint(n):
     out = b""
     while n > 127:
