@@ -123,6 +123,8 @@ class Codec:
         from tokenizers import normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        # A task is given one core, not all of the machine; idle threads wait busily, and each has an allocator of its own.
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         with open(path, "rb") as f:
             self.model = Model(f.read())
         self.words = None
