@@ -9,8 +9,10 @@ stay as they are, clashing names included; a table without rows gives one withou
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.llm import decontaminate, ngram_join, pii, quality_classifier, sentencepiece_codec
@@ -33,8 +35,21 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
+def keyed_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number for each row that is the same in every pass. Rows of Parquet files have one by file and place
+    there; others are written down once."""
+    if "_metadata" not in map(str.lower, docs.columns) and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):
+            placed = docs.select("*", F.col("_metadata.file_path").alias(OWN + "file"), F.col("_metadata.row_index").alias(OWN + "place"))
+            names = sorted(r[0] for r in placed.select(OWN + "file").distinct().collect())
+            files = spark.createDataFrame(list(enumerate(names)), f"{OWN}number long, {OWN}file string")
+            key = F.shiftleft(OWN + "number", 40) + F.col(OWN + "place")
+            return placed.join(F.broadcast(files), OWN + "file").select(*docs.columns, key.alias(KEY))
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    keyed = keyed_rows(spark, docs)
     found = ngram_join.classes_of(keyed.select(F.col(KEY).alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("component"))
     copies = written(found.join(found.groupBy("component").count().filter("count > 1").drop("count"), "component"), "copies")

@@ -65,6 +65,21 @@ def test_rows_without_id_or_with_one_id(spark):
     assert pipeline.classify(spark, clean, SF).columns == docs.columns
 
 
+def test_deduplication_copies_no_texts(spark, docs, tmp_path, monkeypatch):
+    """Rows of files are numbered by file and place, without a second copy of them; the same rows stay."""
+    part, names = docs.select("doc_id", "text", "lang", "source", "n_chars"), []
+    part.repartition(3).write.parquet(str(tmp_path / "d"))
+    read, kept = spark.read.parquet(str(tmp_path / "d")), pipeline.deduplicate(spark, part, SF)
+    keys = [sorted((r[pipeline.KEY], str(r.doc_id), str(r.text)) for r in pipeline.keyed_rows(spark, d).collect()) for d in (read, read.repartition(5).filter("true"))]
+    assert [len({k for k, *_ in x}) for x in keys] == [part.count()] * 2
+    monkeypatch.setattr(pipeline, "written", lambda df, name: names.append(name) or written(df, name))
+    again = pipeline.deduplicate(spark, read, SF)
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect())) and "keyed" not in names
+    odd = read.withColumnRenamed("lang", "_metadata")
+    assert pipeline.keyed_rows(spark, odd).select(odd.columns).count() == part.count() and "keyed" in names
+    assert pipeline.keyed_rows(spark, read.filter("false")).isEmpty()
+
+
 def test_run_leaves_one_table(spark):
     """Of all that the stages write, what the last one reads stays."""
     folder = Path(scratch(spark, "none").removeprefix("file:")).parent
