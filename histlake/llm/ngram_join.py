@@ -18,7 +18,7 @@ whole sequence). Two documents link when 100 * intersection >= 75 * union.
    others go to each of its cells and, in blocks, meet each other.
 4. Verification stores the partners' whole ordered sets in a prefix tree, walks it with the probing set, shares the
    overlap of common beginnings, and prunes subtrees that remaining lengths rule out. Partners of a hub come in parts.
-5. Verified links give components by star contraction.
+5. Verified links give components: in one task if few edges are left of tasks' forests, else by star contraction.
 
 Shingles are compared as 64-bit hashes. Defined results: null, empty and blank texts have empty sets, link with
 nothing and are components of their own; repeated rows and copies each keep their row; a row without an id links like

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from histlake.llm import ngram_join
+from histlake.llm import components as stars, ngram_join
 from histlake.llm.components import components
 from histlake.llm.ngram_join import Tree, classes_of, needed, prefix_length, set_hashes, shingle_hashes, word_hashes
 from tests.llm.conftest import prose
@@ -179,6 +179,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_in_small_plans(spark, monkeypatch, one_task):
+    """In one task and by stars, no plan holds copies of another: the driver's memory goes by how much it plans."""
+    tables = []
+
+    def counted(df, name):
+        tables.append((name, df._jdf.queryExecution().optimizedPlan().collectLeaves().size()))
+        return written(df, name)
+
+    written = stars.written
+    monkeypatch.setattr(stars, "written", counted)
+    monkeypatch.setattr(stars, "ONE_TASK", one_task, raising=False)
+    r = random.Random(6)
+    path = list(range(200))
+    r.shuffle(path)
+    edges = [*zip(path, path[1:]), *((1000 + i, 300) for i in range(50)), (-8, -9), (-9, -7), (-7, -8), (4, 4)]
+    r.shuffle(edges)
+    got = {x.vertex: x.component for x in components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect()}
+    assert got == {i: 0 for i in path} | {i: 300 for i in (300, *range(1000, 1050))} | {i: -9 for i in (-9, -8, -7)}
+    assert max(n for _, n in tables) <= 2
+    assert [name for name, _ in tables] == ["forest", "stars"] if one_task else len(tables) > 3
+
+
 def test_more_rows_than_a_slice(spark):
     rows = [(i, prose(i % 700, 12)) for i in range(1200)]
     got = {d: c for d, _, c in run(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))}
