@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+#: Stretches that are compared together, so that their states stay in a core's cache.
+STRETCHES = 32_768
 TOKEN, ASCII_TOKEN = re.compile(r"[^\W_]+"), re.compile("[A-Za-z0-9]+")
 
 
@@ -92,6 +94,54 @@ def best_windows(short: str, longs: list[str]) -> np.ndarray:
     return np.maximum.reduceat(score, np.cumsum([0, *(len(t) + m - 1 for t in longs[:-1])]))
 
 
+def best_in(long: str, shorts: list[str]) -> np.ndarray:
+    """best_windows of each of many shorts in one long text, which is no shorter than any. Signs that long has not match
+    nothing, so only the others take a bit; all shorts and stretches go together, place by place."""
+    signs, size = np.unique(points(long)), np.array(list(map(len, shorts)))
+    longest = size.max()
+
+    def places(text: str) -> np.ndarray:
+        c = np.searchsorted(signs, x := points(text))
+        return np.where(signs[np.minimum(c, len(signs) - 1)] == x, c, len(signs))
+
+    order = np.argsort(-size, kind="stable")
+    gap = np.full(longest - 1, len(signs), np.int64)
+    line = np.concatenate([gap, places(long), gap, [len(signs)]])
+    n = len(line) - longest
+    codes = places("".join(shorts[i].ljust(longest, "\0") for i in order)).reshape(-1, longest)
+    codes[np.arange(longest) >= size[order, None]] = len(signs)
+    bit = np.cumsum(codes < len(signs), axis=1) - 1
+    kind, bits = (np.uint32, 32) if bit.max() < 32 else (np.uint64, 64)
+    masks = np.zeros((max(0, bit.max()) // bits + 1, len(shorts), len(signs) + 1), kind)
+    for i in range(longest):
+        (j,) = np.nonzero(codes[:, i] < len(signs))
+        masks[bit[j, i] // bits, j, codes[j, i]] |= kind(1) << (bit[j, i] % bits).astype(kind)
+    masks = masks[:, :, line]
+    state = np.full((len(masks), len(shorts), n), ~kind(0))
+    u, total = np.empty_like(state[0]), np.empty_like(state[0])
+    # Those that have a place i come first.
+    for i, m in enumerate(np.searchsorted(-size[order], -np.arange(longest))):
+        carry = None
+        for w in range(len(masks)):
+            s = state[w, :m]
+            np.bitwise_and(masks[w, :m, i : i + n], s, out=u[:m])
+            np.add(s, u[:m], out=total[:m])
+            if len(masks) > 1:
+                over = total[:m] < s
+                if carry is not None:
+                    total[:m] += carry
+                    over |= total[:m] < carry
+                carry = over.astype(kind)
+            s -= u[:m]
+            s |= total[:m]
+    common = np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+    ends = np.cumsum(np.append(0, line < len(signs)))
+    used = ends[np.arange(n) + size[order, None]] - ends[:n]
+    out = np.empty(len(shorts))
+    out[order] = (200.0 * common / (size[order, None] + used)).max(axis=1)
+    return out
+
+
 def partial_ratios(query: str, texts: list[str]) -> np.ndarray:
     """0 to 100 for each text: the shorter of the two against the best stretch of the longer. Two empty texts are alike;
     equal lengths are tried both ways."""
@@ -104,9 +154,12 @@ def partial_ratios(query: str, texts: list[str]) -> np.ndarray:
         if sum(len(texts[j]) + len(query) for j in part) > 200_000 or i == longer[-1]:
             out[part] = best_windows(query, [texts[j] for j in part])
             part = []
-    for i, t in enumerate(texts):
-        if query and t and len(t) <= len(query):
-            out[i] = max(out[i], best_windows(t, [query])[0])
+    shorter = sorted((i for i, t in enumerate(texts) if query and 0 < len(t) <= len(query)), key=lambda i: len(texts[i]))
+    while shorter:
+        m = len(texts[shorter[-1]])
+        size = max(1, STRETCHES // ((len(query) + m) * -(-m // 64)))
+        part, shorter = shorter[-size:], shorter[:-size]
+        out[part] = np.maximum(out[part], best_in(query, [texts[i] for i in part]))
     return out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from histlake.functions.texts import partial_ratios, tokens_of
 from histlake.functions.vectors import embedder
@@ -26,6 +26,8 @@ Prepare = Callable[[list[str]], Callable[[list[str]], np.ndarray]]
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Queries that go out together, and texts that are scored together.
 BLOCK, TEXTS = 500, 500
+#: Scores that a task of fuzzy remembers.
+REMEMBERED = 2_000_000
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -52,8 +54,8 @@ def blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare) -> DataFrame:
-    """Each query's k best texts."""
+def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare, dealt: bool = False) -> DataFrame:
+    """Each query's k best texts. dealt: the corpus is in as many tasks as it should be."""
 
     def one(block: list) -> DataFrame:
         ids, asked = np.array([i for i, _ in block], np.int64), [q for _, q in block]
@@ -72,7 +74,7 @@ def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare) -
 
         return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
 
-    corpus, out = spread(corpus), None
+    corpus, out = corpus if dealt else spread(corpus), None
     for block in blocks(queries):
         out = one(block) if out is None else out.union(one(block))
     return ranked(one([]) if out is None else out, k)
@@ -216,8 +218,41 @@ def holding(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def fuzzy(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best partial similarity, 0 to 100, with case."""
-    return in_blocks(corpus, queries, k, lambda asked: lambda texts: matches(np.array([partial_ratios(q, texts) for q in asked])))
+    """Best partial similarity, 0 to 100, with case. In texts shorter than all queries, signs that no query has count by
+    their number only, so texts that are the same without them score the same: k of them stay, and meet in one task,
+    which compares them once while it remembers their scores."""
+    signs, least = set(), None
+    for block in blocks(queries):
+        signs.update(*(q for _, q in block))
+        least = min(len(q) for _, q in block) if least is None else min(least, *(len(q) for _, q in block))
+
+    def key(text: str) -> str:
+        return f"{len(text)} {''.join(filter(signs.__contains__, text)) if len(text) < (least or 0) else text}"
+
+    @F.pandas_udf(T.StringType())
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(key)
+
+    def prepare(asked: list[str]):
+        known: dict[str, np.ndarray] = {}
+
+        def score(texts: list[str]) -> np.ndarray:
+            have = [key(t) for t in texts]
+            new = {x: t for x, t in zip(have, texts, strict=True) if x not in known}
+            columns = np.array([partial_ratios(q, list(new.values())) for q in asked]).reshape(len(asked), len(new))
+            known.update(zip(new, columns.T.copy(), strict=True))
+            out = np.array([known[x] for x in have]).reshape(len(texts), len(asked)).T
+            while len(known) * len(asked) > REMEMBERED:
+                del known[next(iter(known))]
+            return matches(out)
+
+        return score
+
+    w = W.partitionBy("key").orderBy("doc_id")
+    few = spread(corpus.select("doc_id", "text").dropna()).withColumn("key", keys("text")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    # A stated number of tasks, as texts of a few bytes each would be taken for work of one task.
+    tasks = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    return in_blocks(few.repartition(tasks, "key"), queries, k, prepare, dealt=True)
 
 
 def semantic(corpus: DataFrame, queries: DataFrame, k: int, embed=None, digits: int = 5) -> DataFrame:

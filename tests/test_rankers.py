@@ -90,6 +90,32 @@ def test_fuzzy(tables):
         assert got.get(i, []) == [j for x, j in s if x][:3]
 
 
+def test_partial_ratios_of_many_lengths():
+    r = random.Random(1)
+    for n in (5, 40, 130):
+        query = "".join(r.choice("abcé🎉 ") for _ in range(n))
+        texts = ["".join(r.choice("abcxé7 ") for _ in range(r.randrange(0, n + 3))) for _ in range(30)] + ["x" * n, "7", "\0"]
+        assert partial_ratios(query, texts) == pytest.approx([slow_ratio(query, t) if t else 0.0 for t in texts])
+
+
+def test_fuzzy_compares_alike_texts_once(spark, monkeypatch):
+    """Signs that no query has count by their number only; ids decide among texts that score the same."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(query, texts, real=ranking.partial_ratios):
+        seen.add(len(texts))
+        return real(query, texts)
+
+    monkeypatch.setattr(ranking, "partial_ratios", counted)
+    queries = [(0, "find the large folder now"), (1, "where is the folder of mine")]
+    texts = [f"http://the.folder/{i:04d}" for i in range(300)] + ["http://mine/1", None, "find the large folder now or then 7"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = lists(ranking.fuzzy(corpus, spark.createDataFrame(queries, "query_id long, nl string"), 4))
+    for i, q in queries:
+        assert got[i] == [j for x, j in sorted((-slow_ratio(q, t), j) for j, t in enumerate(texts) if t) if x][:4]
+    assert seen.value == 3 * len(queries)
+
+
 def test_semantic(spark):
     corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
     queries = spark.createDataFrame([(0, CORPUS[3]), (1, CORPUS[8])], "query_id long, nl string")
