@@ -5,14 +5,22 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+#: Characters of texts that are cut into tokens together.
+CHARACTERS = 1_000_000
 #: Stretches that are compared together, so that their states stay in a core's cache.
 STRETCHES = 32_768
-TOKEN, ASCII_TOKEN = re.compile(r"[^\W_]+"), re.compile("[A-Za-z0-9]+")
+TOKEN = re.compile(r"\w+")  # underscores are taken out before
+#: Letters and digits in lower case, spaces for the rest.
+ASCII_PARTS = "".join(chr(i).lower() if chr(i).isalnum() else " " for i in range(128))
+#: No combining mark comes before U+0300.
+BEYOND = re.compile("[\u0300-\U0010ffff]+")
+NO_ASCII = re.compile("[^\x00-\x7f]+")
 
 
 def ascii_fold(text: Column) -> Column:
@@ -35,20 +43,39 @@ def under_path(path: Column, prefix: str) -> Column:
     return (path == prefix) | F.startswith(ascii_fold(path), F.lit(fold_literal(prefix + "/")))
 
 
+def without_marks(run: re.Match) -> str:
+    return "".join(c for c in run[0] if not unicodedata.combining(c))
+
+
 def tokens_of(text: str) -> list[str]:
     """Case-folded runs of letters and digits, without combining marks."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return TOKEN.findall(bare.casefold())
+    if text.isascii():
+        return text.translate(ASCII_PARTS).split()
+    return TOKEN.findall(BEYOND.sub(without_marks, unicodedata.normalize("NFKD", text)).casefold().replace("_", " "))
+
+
+def slices(texts: pd.Series, rows: int | None = None) -> Iterator[slice]:
+    """Stretches of at most CHARACTERS together, or of one text, and of at most so many rows."""
+    ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARACTERS, "right")))
+        to = min(to, at + rows) if rows else to
+        yield slice(at, to)
+        at = to
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def tokens(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: tokens_of(t) if isinstance(t, str) else None)
+def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A batch may hold 10,000 texts of any length; the lists of all their tokens would take many times their size."""
+    for texts in batches:
+        for part in slices(texts):
+            yield texts.iloc[part].map(lambda t: tokens_of(t) if isinstance(t, str) else None)
 
 
 def ascii_tokens(text: str) -> list[str]:
     """Lower-cased runs of ASCII letters and digits; other letters part them."""
-    return [t.lower() for t in ASCII_TOKEN.findall(text)]
+    return (text if text.isascii() else NO_ASCII.sub(" ", text)).translate(ASCII_PARTS).split()
 
 
 def points(text: str) -> np.ndarray:

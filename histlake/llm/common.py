@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from histlake.scratch import scratch, written
-from histlake.shipping import ship
+from histlake.shipping import ship, small_batches
 
 __all__ = ["ascii_lower", "held_out", "lean", "let", "scratch", "small", "table", "trim", "words", "written"]
 
 #: The characters between words: space and \x09 to \x0D.
 GAP = "[\\x20\\x09-\\x0D]+"
-#: Whole texts go to Python workers in small batches, unless the session says otherwise.
-ARROW_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Most rows of a few numbers each that a side may have and still be broadcast (about 16 MB).
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
@@ -27,8 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver's table. Where the session has Spark's own bound for batches to Python, it is lowered for good: plans
     read it when they run, which is after this returns. Operators that are given a DataFrame change nothing."""
     ship(spark)
-    if spark.conf.get(ARROW_BYTES) == DEFAULT_BYTES:
-        spark.conf.set(ARROW_BYTES, "4m")
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,9 +1,13 @@
 import random
+import re
 import sqlite3
+import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from histlake.functions import texts
 from histlake.functions.texts import partial_ratio, partial_ratios, tokens_of
 from histlake.functions.vectors import CachedEncoder, hash_encode
 from histlake.operators import evaluation, ranking
@@ -155,3 +159,17 @@ def test_evaluation(spark, tables, tmp_path):
         evaluation.evaluate(Dataset("toy", corpus, queries, gold), "bm25", hard=0)
     with pytest.raises(ValueError):
         ranking.rankers_of("zz")
+
+
+def test_tokens_in_parts(monkeypatch):
+    """Tokens of a batch are handed on in parts, and are those of the plain rule."""
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
+    r = random.Random(2)
+    odd = ["".join(chr(r.choice((r.randrange(128), r.randrange(0x3000), r.randrange(0xD800)))) for _ in range(12)) for _ in range(500)]
+    for t in ["", "a_b__c", "É é ß ﬁ", "x̀_y", *odd]:
+        assert tokens_of(t) == re.findall(r"[^\W_]+", bare(t)) and texts.ascii_tokens(t) == [x.lower() for x in re.findall("[A-Za-z0-9]+", t)]
+    monkeypatch.setattr(texts, "CHARACTERS", 100)
+    column = pd.Series(["ab cd " * 10, None, "x" * 300, "", "y z"] * 3)
+    parts = list(texts.tokens.func(iter([column])))
+    assert pd.concat(parts).tolist() == [None if t is None else t.split() for t in column] and len(parts) >= 6
+    assert [s.stop - s.start for s in texts.slices(column, 1)] == [1] * 15
