@@ -10,7 +10,7 @@ import pytest
 from histlake.functions import texts
 from histlake.functions.texts import partial_ratio, partial_ratios, tokens_of
 from histlake.functions.vectors import CachedEncoder, hash_encode
-from histlake.operators import evaluation, ranking
+from histlake.operators import evaluation, nearest, ranking
 from histlake.sources.datasets import Dataset
 
 CORPUS = ["git commit -m fix", "git push origin main", "docker run nginx", "find . -name '*.py'", "grep -r todo .", "Café au lait", "ls", "git log --oneline git", "kubectl get pods", "tar xzf a.tgz"]
@@ -128,6 +128,28 @@ def test_semantic(spark):
     assert got == {i: np.lexsort((np.arange(10), -m[i]))[:4].tolist() for i in (0, 1)} and got[0][0] == 3
 
 
+def test_nearest_each_in_tiles(spark, monkeypatch):
+    """Ties by id across tiles and tasks; a tile of scores is all that is held of the pairs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tile(*args, real=nearest.best_of):
+        assert len(args[0]) <= 16 * (8 + 3)
+        seen.add(1)
+        return real(*args)
+
+    monkeypatch.setattr(nearest, "best_of", tile)
+    for name, n in (("QUERY_BLOCK", 16), ("VECTOR_BLOCK", 8), ("NUMBERS", 60)):
+        monkeypatch.setattr(nearest, name, n)
+    r = np.random.default_rng(0)
+    v = r.integers(-1, 2, (100, 3)).astype(float)
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in r.permutation(100).tolist()], "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i + 1000, v[i].tolist()) for i in range(45)], "query_id long, embedding array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in nearest.nearest_each(vectors, queries, 3, 5).collect()}
+    m = np.round(v[:45] @ v.T, 5)
+    assert got == {(i + 1000, n): (j, m[i, j]) for i in range(45) for n, j in enumerate(np.argsort(-m[i], kind="stable")[:3].tolist(), 1)}
+    assert seen.value > 10
+
+
 def test_cache():
     seen = []
     c = CachedEncoder(lambda t: seen.extend(t) or hash_encode(t), 2)
