@@ -1,8 +1,10 @@
 import sqlite3
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
-from histlake.sources.atuin import read_atuin
+from histlake.plans.driver_queries import QUERIES
+from histlake.sources.atuin import read_atuin, read_databases, write_databases
 from histlake.sources.datasets import declared, nl2bash
 from histlake.sources.shells import read_bash, read_zsh
 
@@ -62,6 +64,23 @@ def test_atuin_broken(spark, tmp_path):
         read_atuin(spark, database(tmp_path, ["command"], [("x",)])).collect()
 
 
+def test_databases_of_tasks(spark, tmp_path):
+    """No row comes to the driver; each task's rows are a database of their own."""
+    rows = spark.range(1000, numPartitions=3).selectExpr("concat('x', id) AS id", "id * 1000000000 AS timestamp", "concat('é ', id) AS command")
+    uris = write_databases(rows, f"file://{tmp_path}/ab")
+    assert len(uris) == 3 and sorted(f"file://{tmp_path}/ab/{p.name}" for p in (tmp_path / "ab").iterdir()) == uris
+    assert got(read_databases(spark, uris, since=989), "text", "ts", "source_id", "cwd") == [(f"é {i}", i, f"x{i}", None) for i in range(990, 1000)]
+    assert read_databases(spark, uris).count() == 1000 and read_databases(spark, []).count() == 0
+
+
+def test_atuin_scan_keeps_rows_from_the_driver(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows are collected")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    assert QUERIES["atuin_scan"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_nl2bash(spark, tmp_path):
     (tmp_path / "all.nl").write_text("list\n find \nlist\n\n")
     (tmp_path / "all.cm").write_text("ls\nfind .\nls -a\nlone\n")
