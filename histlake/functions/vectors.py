@@ -7,7 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from histlake.schema import VECTOR_SIZE
@@ -41,12 +41,16 @@ def embedder(load: Callable[[], Encode] = lambda: hash_encode, batch: int = 64):
     """A column function for a model that each worker loads once; rows are encoded in batches."""
     box: list[Encode] = []
 
-    @F.pandas_udf(T.ArrayType(T.FloatType(), False))
-    def embedded(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.FloatType(), False))
+    def embedded(texts: pa.Array) -> pa.Array:
         if not box:
             box.append(load())
-        out = [v for i in range(0, len(texts), batch) for v in box[0](list(texts.iloc[i : i + batch].fillna("")))]
-        return pd.Series(out, index=texts.index, dtype=object)
+        given = [t or "" for t in texts.to_pylist()]
+        parts = [np.asarray(box[0](given[i : i + batch]), np.float32) for i in range(0, len(given), batch)]
+        # From matrices to a column without an object for each row.
+        ends = np.cumsum([0, *(p.shape[1] for p in parts for _ in range(len(p)))], dtype=np.int32)
+        flat = np.concatenate([p.ravel() for p in parts]) if parts else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     return embedded
 

@@ -13,15 +13,18 @@ import os
 import secrets
 import time
 import uuid
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.functions.hashing import salted_hash
 from histlake.functions.redact import redact
 from histlake.functions.vectors import embedder
-from histlake.functions.texts import tokens
+from histlake.functions.texts import slices, tokens_of
 from histlake.operators import ingest
 from histlake.operators.numbering import dense
 from histlake.schema import COMMANDS, POSTINGS, SCHEMA_VERSION, VECTORS
@@ -45,6 +48,20 @@ class LoadResult:
     seconds: float = 0.0
 
 
+def postings_of(rows: DataFrame) -> DataFrame:
+    """term, id and tf; a command's terms are counted where it is, so none is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in slices(pdf["text_scrubbed"]):
+                ids, texts = pdf["id"].iloc[part].to_numpy(), pdf["text_scrubbed"].iloc[part]
+                counts = [Counter(tokens_of(t)) if isinstance(t, str) else {} for t in texts]
+                terms, tf = [t for c in counts for t in c], np.array([n for c in counts for n in c.values()], np.int64)
+                yield pd.DataFrame({"term": terms, "id": np.repeat(ids, [len(c) for c in counts]), "tf": tf})
+
+    return rows.select("id", "text_scrubbed").mapInPandas(run, POSTINGS)
+
+
 class Store:
     """A folder on any file system that Spark reaches."""
 
@@ -171,8 +188,7 @@ class Store:
         if not dense(new, "id", meta["last_id"] + 1):
             raise RuntimeError("numbers of a load are not dense")
         new.select(F.col("id").alias("command_id"), self.embed(F.col("text_scrubbed")).alias("embedding")).write.parquet(f"{self.path}/vectors/{batch}")
-        words = new.select(F.explode(tokens(F.col("text_scrubbed"))).alias("term"), "id")
-        words.groupBy("term", "id").agg(F.count("*").alias("tf")).write.parquet(f"{self.path}/postings/{batch}")
+        postings_of(new).write.parquet(f"{self.path}/postings/{batch}")
         counts = {r["source"]: r for r in ingest.counters(rows, new).collect()}
         known = meta["cursors"] | {r["source"]: max(r["cursor"], meta["cursors"].get(r["source"], 0)) for r in ingest.cursors(rows).collect()}
         done = {s: r["inserted"] for s, r in counts.items()}

@@ -9,7 +9,8 @@ from histlake.functions.times import cutoff, window_seconds
 from histlake.operators import history
 from histlake.plans.requests import INPUTS, Requests, UnknownRequest, validated
 from histlake.plans.serving import serve
-from histlake.plans.store import Conflict, Store
+from histlake.operators.numbering import dense
+from histlake.plans.store import Conflict, Store, postings_of
 from histlake.schema import ENTRY, conform
 from histlake.streaming.ingest import stream_into
 
@@ -193,3 +194,13 @@ def test_following_all_agrees(spark, store):
     one = {(r.match_id, r.pos, r.id) for r in history.following(c, c).collect()}
     many = history.following_all(c, "session_id", ("ts", "id")).select("id", F.explode("nexts").alias("x")).collect()
     assert one == {(r.id, r.x.pos, r.x.next.id) for r in many}
+
+
+def test_postings_and_numbers_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, "a b A_a"), (2, ""), (3, None), (4, "é c")], "id long, text_scrubbed string")
+    out = postings_of(rows)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 3), ("b", 1, 1), ("c", 4, 1), ("e", 4, 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(5, 70_005, numPartitions=3)
+    assert dense(many, "id", 5) and not dense(many, "id", 4) and dense(many.limit(0), "id", 5)
+    assert not dense(many.filter("id <> 40000").union(spark.range(50_000, 50_001)), "id", 5)
