@@ -54,7 +54,7 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(BEYOND.sub(without_marks, unicodedata.normalize("NFKD", text)).casefold().replace("_", " "))
 
 
-def slices(texts: pd.Series, rows: int | None = None) -> Iterator[slice]:
+def slices(texts: pd.Series | list, rows: int | None = None) -> Iterator[slice]:
     """Stretches of at most CHARACTERS together, or of one text, and of at most so many rows."""
     ends = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
     at = 0

@@ -17,8 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histlake.functions.hashing import salted_hash
@@ -51,15 +50,16 @@ class LoadResult:
 def postings_of(rows: DataFrame) -> DataFrame:
     """term, id and tf; a command's terms are counted where it is, so none is shuffled."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in slices(pdf["text_scrubbed"]):
-                ids, texts = pdf["id"].iloc[part].to_numpy(), pdf["text_scrubbed"].iloc[part]
-                counts = [Counter(tokens_of(t)) if isinstance(t, str) else {} for t in texts]
-                terms, tf = [t for c in counts for t in c], np.array([n for c in counts for n in c.values()], np.int64)
-                yield pd.DataFrame({"term": terms, "id": np.repeat(ids, [len(c) for c in counts]), "tf": tf})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for part in slices(texts):
+                counts = [(i, Counter(tokens_of(t))) for i, t in zip(ids[part], texts[part], strict=True) if t]
+                rows = [(t, i, n) for i, c in counts for t, n in c.items()]
+                columns = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=POSTINGS.names)
 
-    return rows.select("id", "text_scrubbed").mapInPandas(run, POSTINGS)
+    return rows.select("id", "text_scrubbed").mapInArrow(run, POSTINGS)
 
 
 class Store:
