@@ -14,9 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from histlake.functions.texts import partial_ratios, tokens_of
+from histlake.functions.texts import partial_ratios, slices, tokens_of
 from histlake.functions.vectors import embedder
 from histlake.operators.nearest import nearest_each
+from histlake.scratch import written
 
 Ranker = Callable[[DataFrame, DataFrame, int], DataFrame]
 Tokenize = Callable[[str], list[str]]
@@ -31,9 +32,10 @@ REMEMBERED = 2_000_000
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
-    """The k best of each query. Spark keeps k of each in each task before the shuffle."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    """The k best of each query, and of each list if there are some. Spark keeps k of each in each task before the shuffle."""
+    of = [c for c in ("list",) if c in scores.columns]
+    w = W.partitionBy("query_id", *of).orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank", *of)
 
 
 def spread(corpus: DataFrame) -> DataFrame:
@@ -54,25 +56,29 @@ def blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare, dealt: bool = False) -> DataFrame:
-    """Each query's k best texts. dealt: the corpus is in as many tasks as it should be."""
+def in_blocks(corpus: DataFrame, queries: DataFrame, k: int, prepare: Prepare, dealt: bool = False, lists: int = 1) -> DataFrame:
+    """Each query's k best texts. dealt: the corpus is in as many tasks as it should be. lists: how many scores of each
+    query a text gets, those of all queries after one another; which of them it is comes as a column then."""
 
     def one(block: list) -> DataFrame:
-        ids, asked = np.array([i for i, _ in block], np.int64), [q for _, q in block]
+        ids, asked = np.array([i for i, _ in block] * lists, np.int64), [q for _, q in block]
+        which = np.repeat(np.arange(lists), len(asked))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             score = prepare(asked)
             best, docs = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-            for pdf in (x.iloc[i : i + TEXTS].dropna() for x in batches for i in range(0, len(x), TEXTS)):
+            for pdf in (x.iloc[part].dropna() for x in batches for part in slices(x["text"], TEXTS)):
                 new = score(pdf["text"].tolist()).reshape(len(ids), len(pdf))
                 docs = np.c_[docs, np.broadcast_to(pdf["doc_id"].to_numpy(np.int64), new.shape)]
                 best = np.c_[best, new]
                 top = np.lexsort((docs, -best), axis=1)[:, :k]
                 best, docs = np.take_along_axis(best, top, 1), np.take_along_axis(docs, top, 1)
             found = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "doc_id": docs.ravel(), "score": best.ravel()})
+            if lists > 1:
+                found["list"] = np.repeat(which, best.shape[1])
             yield found.dropna()
 
-        return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
+        return corpus.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double" + ", list long" * (lists > 1))
 
     corpus, out = corpus if dealt else spread(corpus), None
     for block in blocks(queries):
@@ -138,27 +144,53 @@ def term_statistics(corpus: DataFrame, wanted: frozenset[str], tokenize: Tokeniz
     return n, size / known if known else 0.0, dict(sums)
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, tokenize: Tokenize = tokens_of) -> DataFrame:
+def weighted(corpus: DataFrame, queries: DataFrame, tokenize: Tokenize) -> Callable[[Terms], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
     """BM25 of the query's terms OR-ed; a term that the query repeats counts each time. Scores are rounded, so that ties
     don't hang on the order of sums."""
     wanted = frozenset(t for block in blocks(queries) for _, q in block for t in tokenize(q))
     n, mean, df = term_statistics(corpus, wanted, tokenize)
     idf = {t: max(np.log((n - m + 0.5) / (m + 0.5)), 0.0) or FLOOR for t, m in df.items()}
 
-    def prepare(asked: list[str]):
-        terms = Terms(asked, tokenize)
+    def prepare(terms: Terms):
         weights = terms.counts * np.array([idf.get(t, 0.0) for t in terms.place])
 
-        def score(texts: list[str]) -> np.ndarray:
-            tf, size = terms.of(texts)
-            found = matches(weights @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1.0)))))
-            return np.round(found, 9)
+        def score(tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+            return np.round(matches(weights @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1.0))))), 9)
 
         return score
 
+    return prepare
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, tokenize: Tokenize = tokens_of) -> DataFrame:
+    """BM25 as in weighted."""
+    weigh = weighted(corpus, queries, tokenize)
+
+    def prepare(asked: list[str]):
+        score = weigh(terms := Terms(asked, tokenize))
+        return lambda texts: score(*terms.of(texts))
+
     return in_blocks(corpus, queries, k, prepare)
 
 
+def bm25_and_overlap(corpus: DataFrame, queries: DataFrame, k: int, tokenize: Tokenize = tokens_of) -> list[DataFrame]:
+    """Both rankings from one pass that cuts each text once, after that of the statistics. What is left of it, k rows of
+    each query, is written, as two plans read it."""
+    weigh = weighted(corpus, queries, tokenize)
+
+    def prepare(asked: list[str]):
+        score = weigh(terms := Terms(asked, tokenize))
+
+        def both(texts: list[str]) -> np.ndarray:
+            tf, size = terms.of(texts)
+            return np.concatenate([score(tf, size), matches((terms.counts > 0).astype(float) @ (tf > 0))])
+
+        return both
+
+    out = written(in_blocks(corpus, queries, k, prepare, lists=2), "rankings")
+    return [out.filter(F.col("list") == i).select("query_id", "doc_id", "score", "rank") for i in range(2)]
+
+
 def automaton(words):
     """Finds all of some distinct words in a text in one pass, as places in their list."""
     from ahocorasick import Automaton

@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 
 from histlake.functions.texts import tokens_of
+from histlake.operators import ranking
+from histlake.plans import driver_queries
 from histlake.plans.driver_queries import QUERIES
 
 DOCS = ["Über den Fluß und über die Brücke", "ber den Wald und die Wiese", "El niño comió piñas mañana", "El nino comio pinas", "L'été à la forêt rouénrére", "ouenr re la for t", "ENTFERNT ＦＵＬＬ ﬁn", "plain ascii words only", "über", "mañana mañana y nada más", "straße_und_weg", "nichts von alldem"]
@@ -73,3 +75,36 @@ def test_evaluation(spark, folder):
     found = [n for n in ranks[bm25].values() if n]
     assert (got.n_queries, got.n_corpus) == (len(ASKED), len(DOCS))
     assert (got.recall_at_1, got.recall_at_5, got.mrr) == tuple(round(x / len(ASKED), 6) for x in (sum(n == 1 for n in found), len(found), sum(1 / n for n in found)))
+
+
+@pytest.mark.parametrize(("name", "passes"), [("rank_fusion", 2), ("ranker_verdict_unicode", 2)])
+def test_texts_are_cut_once_for_both_rankers(spark, folder, monkeypatch, name, passes):
+    """Once for the statistics and once for both rankings."""
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        cut.add(text in DOCS)
+        return tokens_of(text)
+
+    monkeypatch.setattr(driver_queries, "tokens_of", counted)
+    monkeypatch.setattr(ranking.bm25_and_overlap, "__defaults__", (counted,))
+    if name == "rank_fusion":
+        driver_queries.rank_fusion(spark, folder).collect()
+    else:
+        driver_queries.ranker_verdict(spark, folder, counted).collect()
+    assert cut.value == passes * len(DOCS)
+
+
+def test_long_texts_go_in_small_parts(spark, monkeypatch):
+    most = spark.sparkContext.accumulator(0)
+
+    class Checked(ranking.Terms):
+        def of(self, some, seen=most):
+            if len(some) > 1 and sum(map(len, some)) > 1_000_000:
+                seen.add(1)
+            return super().of(some)
+
+    monkeypatch.setattr(ranking, "Terms", Checked)
+    corpus = spark.createDataFrame([(i, "über " * 60_000 * (i + 1)) for i in range(5)], "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(0, "uber")], "query_id long, nl string")
+    assert [r.doc_id for r in ranking.token_overlap(corpus, queries, 3).orderBy("rank").collect()] == [0, 1, 2] and most.value == 0
